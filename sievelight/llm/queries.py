@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelight.llm import common, packing, pfor
+from sievelight.llm import common, neardup, packing, pfor
 
 
 def op7_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,12 +15,16 @@ def op7_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.read_digest(files, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(common.table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), end_id=0, capacity=1024)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_pfor_tokens, op10_harmonic_packing)}
+    return {f.__name__: f for f in (op7_pfor_tokens, op9_hyperminhash_dedup, op10_harmonic_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
