@@ -6,7 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelight.llm import common, neardup, packing, pfor
+from sievelight.llm import common, neardup, packing, pfor, sharding, urlfilter
+
+
+#: The rules that op2 judges by.
+URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+
+
+URL_SQL = r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+), split AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1), '') AS path
+  FROM parts
+), rules(rule, rhost, rpath, verdict) AS (VALUES
+  ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
+  ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')
+)
+SELECT s.page_id, s.host, s.path,
+  (SELECT arg_max(rule, length(rule)) FROM rules r
+   WHERE (s.host = rhost OR ends_with(s.host, '.' || rhost)) AND starts_with(s.path, rpath)) AS rule,
+  coalesce((SELECT arg_max(verdict, length(rule)) FROM rules r
+   WHERE (s.host = rhost OR ends_with(s.host, '.' || rhost)) AND starts_with(s.path, rpath)), 'allow') AS verdict
+FROM split s
+"""
+
+
+def op2_digest_array_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(common.table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op7_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +44,10 @@ def op7_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.read_digest(files, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(common.table(spark, sf_dir, "documents"), shards=8)
+
+
 def op9_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(common.table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -24,8 +57,8 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_pfor_tokens, op9_hyperminhash_dedup, op10_harmonic_packing)}
+    return {f.__name__: f for f in (op2_digest_array_urls, op7_pfor_tokens, op8_kd_tree_shards, op9_hyperminhash_dedup, op10_harmonic_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_digest_array_urls": URL_SQL}
