@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievelight.llm import common, neardup, packing, pfor, sharding, urlfilter
+from sievelight.llm import common, neardup, packing, pfor, quality, sharding, toxicity, urlfilter
 
 
 #: The rules that op2 judges by.
@@ -38,6 +39,23 @@ def op2_digest_array_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(common.table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def _judged(scores: DataFrame, mod: int, held: int, least: float) -> DataFrame:
+    held_out = F.coalesce(common.split_of("doc_id", mod) == held, F.lit(False))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, "quality", allowed=common.split_of("doc_id", 4) != 2)
+    return _judged(quality.score(docs, model), 4, 2, 0.7)
+
+
+def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, "toxic", allowed=common.split_of("doc_id", 5) != 0)
+    return _judged(toxicity.score(docs, model), 5, 0, 0.5)
+
+
 def op7_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.new_path(spark, "pfor")
     files = pfor.write(common.table(spark, sf_dir, "documents"), folder, end_id=2)
@@ -57,7 +75,7 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_digest_array_urls, op7_pfor_tokens, op8_kd_tree_shards, op9_hyperminhash_dedup, op10_harmonic_packing)}
+    return {f.__name__: f for f in (op2_digest_array_urls, op4_pu_quality, op6_subword_toxicity, op7_pfor_tokens, op8_kd_tree_shards, op9_hyperminhash_dedup, op10_harmonic_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
