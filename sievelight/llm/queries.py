@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import common, neardup, packing, pfor, quality, sharding, toxicity, urlfilter
+from sievelight.llm import common, hmm, neardup, packing, pfor, quality, sharding, toxicity, urlfilter
 
 
 #: The rules that op2 judges by.
@@ -50,6 +50,13 @@ def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(docs, model), 4, 2, 0.7)
 
 
+def op5_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, rest = common.table(spark, sf_dir, "documents"), common.split_of("doc_id", 10)
+    out = hmm.language_model(docs, training=rest != 0)
+    held_out = F.coalesce(common.split_of("doc_id", 10) == 0, F.lit(False)).alias("held_out")
+    return out.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, "toxic", allowed=common.split_of("doc_id", 5) != 0)
@@ -75,7 +82,7 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_digest_array_urls, op4_pu_quality, op6_subword_toxicity, op7_pfor_tokens, op8_kd_tree_shards, op9_hyperminhash_dedup, op10_harmonic_packing)}
+    return {f.__name__: f for f in (op2_digest_array_urls, op4_pu_quality, op5_hmm_scores, op6_subword_toxicity, op7_pfor_tokens, op8_kd_tree_shards, op9_hyperminhash_dedup, op10_harmonic_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
