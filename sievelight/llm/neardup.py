@@ -6,8 +6,8 @@ borrow from a bucket that a fixed random order picks, alike in every document. B
 Jaccard estimate corrected for chance collisions of registers thins them, and the full sets decide.
 
 Documents with equal sets form one class first, so groups of copies never meet in a band. Within a band's bucket no
-list of all pairs is made: each round tests the members against one leader and merges what is linked; only members of
-still different components are then compared, blockwise.
+list of all pairs is made: two rounds test the members against one leader and merge what is linked; only members of
+still different components are then compared, block against block.
 """
 
 from __future__ import annotations
@@ -32,7 +32,9 @@ MARGIN = 4.5
 #: Sets under this size skip the estimate: too few registers are independent.
 SMALL = 64
 #: A bucket of up to this many members lists its open pairs; a larger one is compared in blocks.
-LISTED, BLOCK = 16, 512
+LISTED, BLOCK = 8, 512
+#: Bands that the first round looks at.
+FIRST_BANDS = 6
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -138,7 +140,8 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    arrow = pa.schema([("key", pa.int64()), ("id", pa.int64())])
+    """(key, band, id) for each band of each class's sketch."""
+    arrow = pa.schema([("key", pa.int64()), ("band", pa.int32()), ("id", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,9 +149,10 @@ def _bands(reps: DataFrame) -> DataFrame:
                 own = b.slice(i, 2000)
                 regs = np.frombuffer(b"".join(own.column(1).to_pylist()), "<u2").reshape(own.num_rows, BUCKETS)
                 ids = np.repeat(own.column(0).to_numpy(zero_copy_only=False), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(band_keys(regs).ravel()), pa.array(ids, pa.int64())], schema=arrow)
+                band = pa.array(np.tile(np.arange(BANDS, dtype="i4"), own.num_rows))
+                yield pa.RecordBatch.from_arrays([pa.array(band_keys(regs).ravel()), band, pa.array(ids, pa.int64())], schema=arrow)
 
-    return reps.select("rep", "registers").mapInArrow(task, common.schema(key="long", id="long"))
+    return reps.select("rep", "registers").mapInArrow(task, common.schema(key="long", band="int", id="long"))
 
 
 def _likely_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -194,15 +198,47 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return counted.filter(100 * F.col("c") >= percent * (F.col("n") - F.col("c"))).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, comp) for every id in ``links`` (a, b): comp is the least id reachable.
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, least id of each one's component) of the links a - b."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up = list(range(len(ids)))
+    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    for x in range(len(up)):  # a parent is always smaller, so it is final already
+        up[x] = up[up[x]]
+    return ids, ids[np.array(up, "i8")] if len(ids) else ids
 
-    Alternating large-star and small-star steps on tables; nothing is collected, and each step aggregates before it
-    joins, so a hub's links never have to meet in one task.
+
+def _merged(links: DataFrame) -> DataFrame:
+    """Each partition's links (u, v) as links from its ids to the least id that they reach there."""
+    arrow = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        ids, root = _forest(*(np.concatenate(x) for x in zip(*held, strict=True))) if held else (np.zeros(0, "i8"),) * 2
+        own = ids != root
+        yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(root[own])], schema=arrow)
+
+    return links.select("u", "v").mapInArrow(task, common.schema(u="long", v="long"))
+
+
+def components(links: DataFrame, per_task: int = 250_000) -> DataFrame:
+    """(id, comp) for every id in ``links`` (a, b) that has a partner: comp is the least id reachable.
+
+    Tasks of ``per_task`` links each merge what they hold. If one task holds all, that is the answer; else alternating
+    large-star and small-star steps on tables follow. These aggregate before they join, and nothing is collected.
     """
-    links = common.stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    state = links.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(20,0)"))).first()
-    while True:
+    links = common.stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "links")
+    parts = max(1, -(-links.count() // per_task))
+    links = common.stored(_merged(links.coalesce(1) if parts == 1 else links.repartition(parts)), "links")
+    sums = (F.count("*"), F.sum(F.hash("u", "v").cast("decimal(20,0)")))
+    state = None if parts > 1 else links.agg(*sums).first()
+    while parts > 1:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = common.stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -210,38 +246,78 @@ def components(links: DataFrame) -> DataFrame:
         least = common.stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         links = common.stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        after = links.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(20,0)"))).first()
-        if after == state:
+        if (after := links.agg(*sums).first()) == state:
             break
         state = after
     roots = links.select(F.col("v").alias("id")).distinct()
     return links.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(roots.select("id", F.col("id").alias("comp")))
 
 
+def _linked(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], sides: tuple[np.ndarray, np.ndarray], band: int, percent: int) -> list[tuple[int, int]]:
+    """Links between rows of the two sides that are in different components; one for each two components that meet.
+
+    A pair is tested in the first band that it shares, so other buckets need not test it again.
+    """
+    up = {c: c for c in comp.tolist()}
+
+    def top(c: int) -> int:
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    bands, found = regs[:, : BANDS * ROWS].reshape(len(ids), BANDS, ROWS), []
+    left, right = sides
+    for a in left:
+        b = right[(comp[right] != comp[a]) & ((ids[right] > ids[a]) if left is right else True)]
+        b = b[100 * np.minimum(n[b], n[a]) >= percent * np.maximum(n[b], n[a])]
+        if len(b) and band:
+            b = b[~(bands[b, :band] == bands[a, :band]).all(axis=2).any(axis=1)]
+        if len(b):
+            b = b[_likely(regs[b], regs[a], n[b], np.full(len(b), n[a]), percent)]
+        for k in b.tolist():
+            x, y = top(int(comp[a])), top(int(comp[k]))
+            if x == y:
+                continue
+            c = len(np.intersect1d(sets[a], sets[k], assume_unique=True))
+            if 100 * c >= percent * (n[a] + n[k] - c):
+                up[max(x, y)] = min(x, y)
+                found.append((int(ids[a]), int(ids[k])))
+    return found
+
+
 def _blockwise(members: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs between components inside large buckets: (key, m, id, comp, n, registers) rows, block by block."""
+    """Links between components inside large buckets, of (key, band, m, id, comp, n, registers, items), block by block."""
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = members.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         regs = np.frombuffer(b"".join(pdf["registers"]), "<u2").reshape(len(pdf), BUCKETS)
         n, comp, ids, own = (pdf[c].to_numpy() for c in ("n", "comp", "id", "own"))
-        found = []
-        for a in np.flatnonzero(own == i):
-            b = np.flatnonzero((comp != comp[a]) & ((own == j) if i != j else (ids > ids[a])))
-            b = b[100 * np.minimum(n[b], n[a]) >= percent * np.maximum(n[b], n[a])]
-            if len(b):
-                b = b[_likely(regs[b], regs[a], n[b], np.full(len(b), n[a]), percent)]
-                found.append(np.stack([np.minimum(ids[b], ids[a]), np.maximum(ids[b], ids[a])], axis=1))
-        return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 2), "i8"), columns=["a", "b"])
+        left = np.flatnonzero(own == i)
+        right = left if i == j else np.flatnonzero(own == j)
+        found = _linked(ids, comp, n, regs, [np.asarray(x) for x in pdf["items"]], (left, right), int(pdf["band"].iloc[0]), percent)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("key", "i", "j").applyInPandas(compare, common.schema(a="long", b="long"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
+def _mixed(open_: DataFrame, comps: DataFrame) -> DataFrame:
+    """The buckets' members with their components (comp), where a bucket still has members of several."""
+    named = open_.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+    return common.stored(named.join(mixed, "key", "left_semi"), "mixed")
+
+
+def _led(named: DataFrame, *rank: Column) -> DataFrame:
+    """Pairs (a, b) of each bucket's first member by ``rank`` with its members of other components."""
+    first = F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)], "id", "comp")
+    lead = named.groupBy("key").agg(F.min(first).alias("s")).select("key", F.col("s.id").alias("lead"), F.col("s.comp").alias("own"))
+    return named.join(lead, "key").filter("comp <> own").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 x intersection >= percent x union of their sets of ``width``-word shingles;
@@ -261,28 +337,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
     open_ = common.stored(bands.join(common.stored(shared.select("key", "m"), "shared"), "key"), "buckets")
     sets = _sets(docs, open_.select("id").distinct(), width)
 
-    links = comps = None
-    for k in range(rounds + 1):
-        if comps is not None:  # only buckets that still hold several components
-            named = open_.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-            named = common.stored(named.join(common.stored(mixed, "mixed"), "key", "left_semi"), "named")
-        else:
-            named = open_.withColumn("comp", F.col("id"))
-        if k < rounds:
-            rank = F.struct((F.xxhash64("id", F.lit(k)) if k else F.col("id")).alias("rank"), "id", "comp")
-            lead = common.stored(named.groupBy("key").agg(F.min(rank).alias("s")).select("key", F.col("s.id").alias("lead"), F.col("s.comp").alias("own")), "leaders")
-            pairs = named.join(lead, "key").filter("comp <> own").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-            likely = _likely_pairs(pairs.distinct(), reps, percent)
-        else:
-            few, many = named.filter(F.col("m") <= LISTED), named.filter(F.col("m") > LISTED)
-            other = few.select("key", F.col("id").alias("b"), F.col("comp").alias("other"))
-            pairs = few.select("key", F.col("id").alias("a"), "comp").join(other, "key").filter("a < b and comp <> other").select("a", "b")
-            known = reps.select(F.col("rep").alias("id"), "n", "registers")
-            likely = _likely_pairs(pairs.distinct(), reps, percent).unionByName(_blockwise(many.join(known, "id"), percent)).distinct()
-        new = common.stored(_confirmed(likely, sets, percent), "confirmed")
-        links = new if links is None else links.unionByName(new)
-        comps = common.stored(components(links), "components")
+    # first a few bands with the least id of a bucket as its leader: that merges most of every group
+    named = open_.filter(F.col("band") < FIRST_BANDS).withColumn("comp", F.col("id"))
+    links = common.stored(_confirmed(_likely_pairs(_led(named, F.col("id")), reps, percent), sets, percent), "confirmed")
+    comps = common.stored(components(links), "components")
+    # then all buckets that still hold several components, led by a member that has been merged, if there is one
+    named = _mixed(open_, comps)
+    alone = (F.col("comp") == F.col("id")).cast("int")
+    links = links.unionByName(common.stored(_confirmed(_likely_pairs(_led(named, alone, F.xxhash64("id")), reps, percent), sets, percent), "confirmed"))
+    comps = common.stored(components(links), "components")
+    # then every open pair: listed in small buckets, block against block in large ones
+    named = _mixed(open_, comps)
+    few, many = named.filter(F.col("m") <= LISTED), named.filter(F.col("m") > LISTED)
+    other = few.select("key", F.col("id").alias("b"), F.col("comp").alias("other"))
+    pairs = few.select("key", F.col("id").alias("a"), "comp").join(other, "key").filter("a < b and comp <> other").select("a", "b").distinct()
+    full = many.join(reps.select(F.col("rep").alias("id"), "n", "registers"), "id").join(sets, "id")
+    rest = _confirmed(_likely_pairs(pairs, reps, percent), sets, percent).unionByName(_blockwise(full, percent))
+    comps = common.stored(components(links.unionByName(rest)), "components")
 
     named = classes.select("doc_id", "n", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     named = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
