@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import common, hmm, neardup, packing, pfor, quality, sharding, toxicity, urlfilter
+from sievelight.llm import common, decontam, hmm, neardup, packing, pfor, quality, sharding, toxicity, urlfilter
+
+
+def op1_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
 #: The rules that op2 judges by.
@@ -82,7 +86,7 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_digest_array_urls, op4_pu_quality, op5_hmm_scores, op6_subword_toxicity, op7_pfor_tokens, op8_kd_tree_shards, op9_hyperminhash_dedup, op10_harmonic_packing)}
+    return {f.__name__: f for f in (op1_cgk_decontamination, op2_digest_array_urls, op4_pu_quality, op5_hmm_scores, op6_subword_toxicity, op7_pfor_tokens, op8_kd_tree_shards, op9_hyperminhash_dedup, op10_harmonic_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
