@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import common, decontam, hmm, neardup, packing, pfor, quality, sharding, toxicity, urlfilter
+from sievelight.llm import ann, common, decontam, hmm, neardup, packing, pfor, quality, sharding, toxicity, urlfilter
 
 
 def op1_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op2_digest_array_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(common.table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def _judged(scores: DataFrame, mod: int, held: int, least: float) -> DataFrame:
     held_out = F.coalesce(common.split_of("doc_id", mod) == held, F.lit(False))
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
@@ -86,7 +90,7 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cgk_decontamination, op2_digest_array_urls, op4_pu_quality, op5_hmm_scores, op6_subword_toxicity, op7_pfor_tokens, op8_kd_tree_shards, op9_hyperminhash_dedup, op10_harmonic_packing)}
+    return {f.__name__: f for f in (op1_cgk_decontamination, op2_digest_array_urls, op3_hilbert_neighbours, op4_pu_quality, op5_hmm_scores, op6_subword_toxicity, op7_pfor_tokens, op8_kd_tree_shards, op9_hyperminhash_dedup, op10_harmonic_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
