@@ -8,8 +8,11 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,6 +102,33 @@ def numbered(df: DataFrame, group: str, key: list[str], out: str, buckets: int)
     )
 
 
+def with_score(docs: DataFrame, score: Callable[[list[bytes | None]], np.ndarray], keep: list[str], out: str = "score") -> DataFrame:
+    """The columns ``keep`` of each row and ``out``: what ``score`` gives for its whole text, as UTF-8 bytes."""
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text"))
+    kind = T.StructType([*[T.StructField(f.name, f.dataType) for f in rows.schema[:-1]], T.StructField(out, T.DoubleType())])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                p = score(b.column(len(keep)).cast(pa.binary()).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64())], names=[*keep, out])
+
+    return rows.mapInArrow(task, kind)
+
+
+def accepted(docs: DataFrame, accept: Callable[[list[bytes | None]], np.ndarray]) -> DataFrame:
+    """The rows, with all their columns, whose text ``accept`` says yes to."""
+    rows = docs.withColumn("__text", F.col("text").cast("string"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yes = accept(b.column(b.num_columns - 1).cast(pa.binary()).to_pylist())
+                yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(pa.array(yes, pa.bool_()))
+
+    return rows.mapInArrow(task, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
+
+
 _TYPES = {"int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}
 
 

@@ -275,6 +275,16 @@ def find(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None
     return out if out is not None else spark.createDataFrame([], _FOUND)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no item."""
+    s = settings or Settings()
+    common.ship(docs.sparkSession)
+    for part in _slices(benchmark, s):
+        held = docs.sparkSession.sparkContext.broadcast(Index(part, s))
+        docs = common.accepted(docs, lambda texts, held=held: np.array([not held.value.find(t) for t in texts], bool))
+    return docs
+
+
 def _slices(benchmark: DataFrame, s: Settings) -> Iterator[list[tuple[int, bytes]]]:
     part, n = [], 0
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")

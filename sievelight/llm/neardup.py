@@ -360,3 +360,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     alone = all_.filter("digest is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     out = named.unionByName(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def distinct(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each near-duplicate group, with all its columns: the least doc_id's. Rows without an id all stay."""
+    judged = common.stored(near_duplicates(docs, width, percent).filter("kept and doc_id is not null").select("doc_id"), "kept")
+    repeated = judged.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    # a new name: both tables come from docs
+    kept = docs.join(judged.select(F.col("doc_id").alias("__kept")).distinct(), F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    if repeated:
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id is null"))

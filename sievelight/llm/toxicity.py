@@ -11,10 +11,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sievelight.llm import common
 
@@ -184,22 +182,20 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", allowed=None,
     return train(texts, np.array(ys, "i8"), s)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` that are needed to know the rows again, doc_id, and score: the probability of class 1 of
-    each whole text. Null and empty texts are judged by the bias; repeated rows stay apart; other columns are ignored."""
-    spark = docs.sparkSession
-    common.ship(spark)
-    lean = spark.sparkContext.broadcast(Model(model.settings, model.weight, model.bias))  # 4 bytes a bucket
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType
+def _lean(docs: DataFrame, model: Model):
+    """The model without its vectors, in every task: 4 bytes a bucket."""
+    common.ship(docs.sparkSession)
+    return docs.sparkSession.sparkContext.broadcast(Model(model.settings, model.weight, model.bias))
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = lean.value.score(b.column(1).cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
-    return rows.mapInArrow(task, _doc_score(kind))
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and score: the probability of class 1 of each whole text of ``docs`` (text). Null and empty
+    texts are judged by the bias alone; repeated rows stay apart; an empty table gives no rows."""
+    held = _lean(docs, model)
+    return common.with_score(docs, lambda texts: held.value.score(texts), list(keep))
 
 
-def _doc_score(kind) -> T.StructType:
-    return T.StructType([T.StructField("doc_id", kind), T.StructField("score", T.DoubleType())])
+def clean(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is under ``below``."""
+    held = _lean(docs, model)
+    return common.accepted(docs, lambda texts: held.value.score(texts) < below)
