@@ -1,15 +1,662 @@
-"""The catalogue of queries over the test tables, each with its SQL."""
+"""The catalogue of queries over the test tables, each with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sievelight.functions import MatrixMeta, expected_precision, fixed_point, levels, precision_lower_bound, to_int8
+from sievelight.operators import evaluate, graph, layout, reduce, score, search, topk, tune
+from sievelight.plans import inputs
+from sievelight.plans.inputs import sql
+from sievelight.sources import generators, matrix_market, reports, word_vectors
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(text: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if text is not None:
+            _SQL[f.__name__] = text
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _six(c: str) -> F.Column:
+    return F.round(F.col(c), 6).alias(c)
+
+
+# -- layout --------------------------------------------------------------------------------------------------------
+
+
+@query(sql("coo", "SELECT row_id, col_id, val FROM coo"))
+def coo_from_dense(spark, sf):
+    return inputs.triples(spark, sf)
+
+
+@query(sql("coo", "SELECT row_id, col_id, val FROM coo WHERE abs(val) > 0.1"))
+def coo_nonzero(spark, sf):
+    small = F.transform("embedding", lambda v: F.when(F.abs(v.cast("double")) > 0.1, v).otherwise(F.lit(0.0).cast("float")))
+    return layout.to_triples(inputs.dense(spark, sf).withColumn("embedding", small), keep_zeros=False)
+
+
+@query(sql("sp", "SELECT row_id, col_id, val FROM sp"))
+def coo_dedupe_sum(spark, sf):
+    return inputs.sparse(spark, sf)
+
+
+@query("SELECT l_orderkey AS row_id, CAST(l_partkey % 512 AS INTEGER) AS col_id, arg_max(l_quantity, l_linenumber * 1000 + l_quantity) AS val FROM lineitem GROUP BY ALL")
+def coo_dedupe_last(spark, sf):
+    cells = inputs.line_cells(spark, sf).withColumn("order_", F.col("l_linenumber") * 1000 + F.col("val"))  # line numbers repeat
+    return layout.deduplicated(cells, "last", "order_")
+
+
+@query(sql("sp", "SELECT row_id, count(*) AS nnz FROM sp GROUP BY row_id"))
+def csr_row_lengths(spark, sf):
+    return layout.lengths(inputs.sparse(spark, sf))
+
+
+@query(sql("sp", "SELECT col_id, count(*) AS nnz FROM sp GROUP BY col_id"))
+def csc_col_lengths(spark, sf):
+    return layout.lengths(inputs.sparse(spark, sf), "col_id")
+
+
+@query(sql("sp", "SELECT row_id, string_agg(col_id, ',' ORDER BY col_id) AS indices, string_agg(CAST(val AS BIGINT), ',' ORDER BY col_id) AS vals FROM sp GROUP BY row_id"))
+def csr_arrays(spark, sf):
+    rows = layout.compressed(inputs.sparse(spark, sf))
+    return rows.select("row_id", F.array_join("indices", ",").alias("indices"), F.array_join(F.transform("values", lambda v: v.cast("bigint")), ",").alias("vals"))
+
+
+@query(sql("sp", "SELECT col_id, string_agg(row_id, ',' ORDER BY row_id) AS indices, string_agg(CAST(val AS BIGINT), ',' ORDER BY row_id) AS vals FROM sp GROUP BY col_id"))
+def csc_arrays(spark, sf):
+    cols = layout.compressed(inputs.sparse(spark, sf), "col_id")
+    return cols.select("col_id", F.array_join("indices", ",").alias("indices"), F.array_join(F.transform("values", lambda v: v.cast("bigint")), ",").alias("vals"))
+
+
+@query(sql("sp", ", n AS (SELECT row_id, count(*) AS nnz FROM sp GROUP BY row_id) SELECT row_id, CAST(sum(nnz) OVER (ORDER BY row_id) - nnz AS BIGINT) AS begin_at, CAST(sum(nnz) OVER (ORDER BY row_id) AS BIGINT) AS end_at FROM n"))
+def csr_row_ptr(spark, sf):
+    return layout.pointers(inputs.sparse(spark, sf)).withColumnsRenamed({"begin": "begin_at", "end": "end_at"})
+
+
+@query(sql("sp", "SELECT max(row_id) + 1 AS rows_, max(col_id) + 1 AS cols_, count(*) AS nnz, round(count(*) / ((max(row_id) + 1) * (max(col_id) + 1)::DOUBLE), 9) AS density FROM sp"))
+def matrix_stats(spark, sf):
+    rows, cols = F.max("row_id") + 1, F.max("col_id") + 1
+    return inputs.sparse(spark, sf).agg(rows.alias("rows_"), cols.alias("cols_"), F.count("*").alias("nnz"), F.round(F.count("*") / (rows * cols.cast("double")), 9).alias("density"))
+
+
+@query(sql("sp", ", n AS (SELECT row_id, count(*) AS nnz FROM sp GROUP BY row_id) SELECT nnz, count(*) AS n_rows FROM n GROUP BY nnz"))
+def nnz_per_row_hist(spark, sf):
+    return layout.lengths(inputs.sparse(spark, sf)).groupBy("nnz").agg(F.count("*").alias("n_rows"))
+
+
+@query(sql("sp", "SELECT CAST(floor(val / 5.0) AS INTEGER) AS bin, count(*) AS n FROM sp GROUP BY 1"))
+def value_hist(spark, sf):
+    return layout.histogram(inputs.sparse(spark, sf), 5.0)
+
+
+def _bounds(part: str) -> str:
+    return sql("coo", f", r AS (SELECT count(*) AS n FROM embeddings) SELECT CAST({part} AS INTEGER) AS part, min(row_id) AS first_row, max(row_id) AS last_row, count(*) AS nnz, CAST(ceil(count(*) / 30.0) AS BIGINT) AS packets FROM coo, r GROUP BY 1")
+
+
+_BALANCED = "CASE WHEN row_id < (n % 7) * (n // 7 + 1) THEN row_id // (n // 7 + 1) ELSE n % 7 + (row_id - (n % 7) * (n // 7 + 1)) // (n // 7) END"
+
+
+def _split_bounds(spark, sf, parts: int, how: str) -> DataFrame:
+    n = inputs.dense(spark, sf).count()
+    return layout.split_summary(inputs.triples(spark, sf), layout.split_of(F.col("row_id"), n, parts, how))
+
+
+@query(_bounds("least(row_id // (n // 32), 31)"))
+def partition_bounds_floor(spark, sf):
+    return _split_bounds(spark, sf, 32, "floor")
+
+
+@query(_bounds("row_id // CAST(ceil(n / 32.0) AS BIGINT)"))
+def partition_bounds_ceil(spark, sf):
+    return _split_bounds(spark, sf, 32, "ceil")
+
+
+@query(_bounds(_BALANCED))
+def partition_bounds_balanced(spark, sf):
+    return _split_bounds(spark, sf, 7, "balanced")
+
+
+@query(sql("coo", ", r AS (SELECT count(*) AS n FROM embeddings) SELECT (row_id * 7919 + 11) % n AS row_id, col_id, val FROM coo, r"))
+def shuffle_rows_affine(spark, sf):
+    return layout.affine_shuffle(inputs.triples(spark, sf), inputs.dense(spark, sf).count(), 7919, 11)
+
+
+@query(sql("edges", "SELECT src, dst FROM edges UNION SELECT dst, src FROM edges"))
+def symmetrize_edges(spark, sf):
+    return layout.mirrored(inputs.edges(spark, sf))
+
+
+@query(sql("edges", "SELECT DISTINCT src, dst FROM edges WHERE src <> dst"))
+def drop_self_loops(spark, sf):
+    return layout.without_loops(inputs.edges(spark, sf))
+
+
+@query(sql("sp", "SELECT row_id, col_id, val FROM sp WHERE row_id IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 3)"))
+def row_gather(spark, sf):
+    ids = spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderkey % 10 = 3").select(F.col("o_orderkey").alias("row_id"))
+    return layout.gather(inputs.sparse(spark, sf), ids)
+
+
+@query(sql("sp", ", f AS (SELECT * FROM sp WHERE row_id < 400 AND row_id % 3 <> 0) SELECT row_id, col_id, val FROM f UNION ALL SELECT i, CAST(i AS INTEGER), 0.0::DOUBLE FROM range(400) t(i) WHERE i NOT IN (SELECT row_id FROM f)"))
+def diagonal_fill(spark, sf):
+    return layout.with_diagonal(inputs.sparse(spark, sf).filter("row_id < 400 and row_id % 3 <> 0"), 400)
+
+
+# -- pruning and quantising ----------------------------------------------------------------------------------------
+
+_PRUNED = ", m AS (SELECT {mean} AS mean FROM sp), w AS (SELECT row_id, col_id, val, count(*) OVER (PARTITION BY row_id) AS n, min(abs(val)) OVER (PARTITION BY row_id) AS least, row_number() OVER (PARTITION BY row_id ORDER BY abs(val) DESC, col_id) AS place FROM sp) SELECT row_id, col_id, val FROM w, m WHERE place <= ceil(n * 0.5::DOUBLE) OR least > mean"
+
+
+@query(sql("sp", _PRUNED.format(mean="avg(abs(val))")))
+def prune_nonzero_mean(spark, sf):
+    return reduce.prune(inputs.sparse(spark, sf), 0.5)
+
+
+@query(sql("sp", _PRUNED.format(mean="sum(abs(val)) / ((max(row_id) + 1) * 512)::DOUBLE")))
+def prune_cell_mean(spark, sf):
+    cells = layout.meta(inputs.sparse(spark, sf)).rows * inputs.SPARSE_COLS
+    return reduce.prune(inputs.sparse(spark, sf), 0.5, "cells", cells)
+
+
+def _quantised(level: float, low: int, high: int, where: str = "") -> str:
+    return sql("coo", f", m AS (SELECT max(abs(val)) AS mx FROM coo), q AS (SELECT row_id, col_id, CAST(greatest({low}, least({high}, round_even({level}::DOUBLE * (val / mx), 0))) AS INTEGER) AS q FROM coo, m) SELECT * FROM q {where}")
+
+
+@query(_quantised(31, -32, 31))
+def quantize_dense6(spark, sf):
+    return reduce.quantize(inputs.triples(spark, sf))
+
+
+@query(_quantised(7, -8, 7))
+def quantize_dense4(spark, sf):
+    return reduce.quantize(inputs.triples(spark, sf), bits=4)
+
+
+@query(_quantised(63, -64, 63))
+def quantize_asym6(spark, sf):
+    return reduce.quantize(inputs.triples(spark, sf), symmetric=False)
+
+
+@query(_quantised(31.5, -32, 31, "WHERE q <> 0"))
+def quantize_csr6(spark, sf):
+    return reduce.quantize(inputs.triples(spark, sf), scheme="csr")
+
+
+@query(sql("coo", "SELECT row_id, col_id, CAST(trunc(val * 16) AS INTEGER) AS q FROM coo"))
+def quantize_fixed(spark, sf):
+    return reduce.quantize(inputs.triples(spark, sf), scheme="fixed")
+
+
+_XQ = "xq AS (SELECT qid, col_id, CAST(greatest(-32, least(31, round_even(31::DOUBLE * (x / max(abs(x)) OVER (PARTITION BY qid)), 0))) AS INTEGER) AS q FROM x5)"
+
+
+@query(sql("coo x5", f", {_XQ} SELECT qid, col_id, q FROM xq"))
+def quantize_query(spark, sf):
+    return reduce.quantize_queries(inputs.queries(spark, sf, 5))
+
+
+@query(sql("sp", ", f AS (SELECT row_id, col_id, CAST(val AS INTEGER) AS q FROM sp WHERE val >= 45) SELECT row_id, col_id, q FROM f UNION ALL SELECT row_id, CAST(row_id * 7 % 512 AS INTEGER), 1 FROM (SELECT DISTINCT row_id FROM sp) WHERE row_id NOT IN (SELECT row_id FROM f)"))
+def fill_empty_rows(spark, sf):
+    all_ = inputs.sparse(spark, sf)
+    q = all_.filter("val >= 45").select("row_id", "col_id", F.col("val").cast("int").alias("q"))
+    return reduce.fill_empty_rows(q, all_, F.col("row_id") * 7 % inputs.SPARSE_COLS)
+
+
+@query(sql("coo", "SELECT row_id, col_id, CAST(trunc(val * 67108864) AS BIGINT) AS fixed FROM coo"))
+def fixed_point_values(spark, sf):
+    return inputs.triples(spark, sf).select("row_id", "col_id", fixed_point(F.col("val")).alias("fixed"))
+
+
+@query(sql("coo", "SELECT row_id, col_id, CAST(greatest(-128, least(127, trunc(val * 300))) AS TINYINT) AS v FROM coo"))
+def cast_int8(spark, sf):
+    return inputs.triples(spark, sf).select("row_id", "col_id", to_int8(F.col("val") * 300).alias("v"))
+
+
+# -- packets -------------------------------------------------------------------------------------------------------
+
+_PLACED = ", r AS (SELECT count(*) AS n FROM embeddings), m AS (SELECT max(abs(val)) AS mx FROM coo), q AS (SELECT row_id, col_id, CAST(greatest(-32, least(31, round_even(31::DOUBLE * (val / mx), 0))) AS INTEGER) AS q, CAST(least(row_id // (n // 8), 7) AS INTEGER) AS part FROM coo, m, r), q0 AS (SELECT * FROM q WHERE q <> 0), p AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY row_id, col_id) - 1 AS pos, lag(row_id) OVER (PARTITION BY part ORDER BY row_id, col_id) AS prev FROM q0), l AS (SELECT *, pos // {lanes} AS pkt, CAST(pos % {lanes} AS INTEGER) AS lane, CAST(prev IS NOT NULL AND prev <> row_id AS BIGINT) AS new FROM p)"
+
+
+def _packed(spark, sf) -> tuple[DataFrame, F.Column]:
+    n = inputs.dense(spark, sf).count()
+    return reduce.quantize(inputs.triples(spark, sf), drop_zeros=True), layout.split_of(F.col("row_id"), n, 8)
+
+
+@query(sql("coo", _PLACED.format(lanes=30) + " SELECT part, pkt, min(row_id) AS first_row, CAST(sum(new << lane) AS BIGINT) AS row_bits, CAST(count(*) AS INTEGER) AS used, string_agg(col_id, ',' ORDER BY lane) AS cols_, string_agg(q, ',' ORDER BY lane) AS vals FROM l GROUP BY part, pkt"))
+def ultra_packets(spark, sf):
+    rows = layout.row_bit_packets(*_packed(spark, sf))
+    own = lambda c: F.array_join(F.slice(c, 1, F.col("used")), ",")
+    return rows.select("part", "pkt", "first_row", "row_bits", "used", own("cols").alias("cols_"), own("vals").alias("vals"))
+
+
+@query(sql("coo", _PLACED.format(lanes=30) + " SELECT part, CAST(dense_rank() OVER (PARTITION BY part ORDER BY row_id) - 1 AS BIGINT) AS row_no, col_id, q FROM l"))
+def ultra_packet_decode(spark, sf):
+    return layout.decode_row_bits(layout.row_bit_packets(*_packed(spark, sf)))
+
+
+@query(sql("coo", _PLACED.format(lanes=11) + ", e AS (SELECT part, pkt, row_id, count(*) AS n, max(CASE WHEN lane = 0 THEN CASE WHEN prev IS NULL THEN 1 ELSE new END END) AS starts FROM l GROUP BY ALL), s AS (SELECT *, sum(n) OVER (PARTITION BY part, pkt ORDER BY row_id) AS row_end FROM e) SELECT part, pkt, CAST(max(starts) AS INTEGER) AS new_row, string_agg(CAST(row_end AS BIGINT), ',' ORDER BY row_end) AS row_ends, CAST(sum(n) AS BIGINT) AS used FROM s GROUP BY part, pkt"))
+def bs_packets(spark, sf):
+    rows = layout.row_end_packets(*_packed(spark, sf))
+    return rows.withColumn("row_ends", F.array_join("row_ends", ","))
+
+
+# -- scores --------------------------------------------------------------------------------------------------------
+
+
+@query(sql("coo x1", "SELECT c.row_id, round(sum(val * x), 6) AS score FROM coo c JOIN x1 USING (col_id) GROUP BY c.row_id"))
+def spmv_float(spark, sf):
+    return score.multiply(inputs.triples(spark, sf), inputs.queries(spark, sf, 1), cells=64).select("row_id", _six("score"))
+
+
+_Q6 = "m AS (SELECT max(abs(val)) AS mx FROM coo), q AS (SELECT row_id, col_id, CAST(greatest(-32, least(31, round_even(31::DOUBLE * (val / mx), 0))) AS INTEGER) AS q FROM coo, m)"
+_INT = f", {_Q6}, {_XQ}, s AS (SELECT xq.qid, q.row_id, CAST(sum(q.q * xq.q) AS BIGINT) AS score FROM q JOIN xq USING (col_id) GROUP BY ALL)"
+
+
+def _int_scores(spark, sf, number: int = 5) -> DataFrame:
+    q, x = reduce.quantize(inputs.triples(spark, sf)), reduce.quantize_queries(inputs.queries(spark, sf, number))
+    return score.multiply(q, x.withColumnRenamed("q", "x"), "q", "x", cells=64 * number, integer=True)
+
+
+@query(sql("coo x5", _INT + " SELECT qid, row_id, score FROM s"))
+def spmv_int(spark, sf):
+    return _int_scores(spark, sf)
+
+
+@query(sql("coo x1", "SELECT c.row_id, CAST(sum(trunc(val * 67108864)::BIGINT * trunc(x * 1024)::BIGINT) AS BIGINT) AS score FROM coo c JOIN x1 USING (col_id) GROUP BY c.row_id"))
+def spmv_fixed(spark, sf):
+    a = inputs.triples(spark, sf).withColumn("val", fixed_point(F.col("val")))
+    x = inputs.queries(spark, sf, 1).withColumn("x", (F.col("x") * 1024).cast("bigint"))
+    return score.multiply(a, x, cells=64, integer=True).select("row_id", "score")
+
+
+@query(sql("coo x5", "SELECT x5.qid, c.row_id, round(sum(val * x), 6) AS score FROM coo c JOIN x5 USING (col_id) GROUP BY ALL"))
+def spmv_batch(spark, sf):
+    return score.multiply(inputs.triples(spark, sf), inputs.queries(spark, sf, 5), cells=320).select("qid", "row_id", _six("score"))
+
+
+@query(sql("sp", ", x AS (SELECT 0 AS qid, CAST(i AS INTEGER) AS col_id, i % 5 - 2 AS x FROM range(0, 512, 7) t(i) WHERE i % 5 <> 2) SELECT sp.row_id, CAST(sum(CAST(val AS BIGINT) * x) AS BIGINT) AS score FROM sp JOIN x USING (col_id) GROUP BY sp.row_id"))
+def spmspv_int(spark, sf):
+    x = spark.range(0, 512, 7).select(F.lit(0).alias("qid"), F.col("id").cast("int").alias("col_id"), (F.col("id") % 5 - 2).alias("x")).filter("x <> 0")
+    return score.multiply(inputs.sparse(spark, sf), x, cells=74, integer=True).select("row_id", "score")
+
+
+@query(sql("sp", ", x AS (SELECT 0 AS qid, CAST(i AS INTEGER) AS col_id, i % 5 - 2 AS x FROM range(0, 512, 7) t(i) WHERE i % 5 <> 2), s AS (SELECT sp.row_id, CAST(sum(CAST(val AS BIGINT) * x) AS BIGINT) AS score FROM sp JOIN x USING (col_id) GROUP BY sp.row_id) SELECT 0 AS qid, r.row_id, coalesce(s.score, 0) AS score FROM (SELECT DISTINCT row_id FROM sp) r LEFT JOIN s USING (row_id)"))
+def spmspv_with_empty_rows(spark, sf):
+    x = spark.range(0, 512, 7).select(F.lit(0).alias("qid"), F.col("id").cast("int").alias("col_id"), (F.col("id") % 5 - 2).alias("x")).filter("x <> 0")
+    a = inputs.sparse(spark, sf)
+    return score.with_empty_rows(score.multiply(a, x, cells=74, integer=True), a, x)
+
+
+@query(sql("sp", "SELECT CAST(col_id AS BIGINT) AS row_id, CAST(sum(CAST(val AS BIGINT) * (row_id % 9 - 4)) AS BIGINT) AS score FROM sp GROUP BY col_id"))
+def spmv_transposed(spark, sf):
+    a = inputs.sparse(spark, sf)
+    x = a.select(F.lit(0).alias("qid"), F.col("row_id").cast("int").alias("col_id"), (F.col("row_id") % 9 - 4).alias("x")).distinct()
+    return score.multiply(score.transposed(a), x, integer=True).select("row_id", "score")
+
+
+@query(sql("coo x3", "SELECT qid, col_id, round(x - avg(x) OVER (PARTITION BY qid), 6) AS x FROM x3"))
+def center_vector(spark, sf):
+    return score.normalized(inputs.queries(spark, sf, 3), "center").select("qid", "col_id", _six("x"))
+
+
+@query(sql("coo x3", "SELECT qid, col_id, round((abs(x) + 1) / sum(abs(x) + 1) OVER (PARTITION BY qid), 6) AS x FROM x3"))
+def normalize_sum(spark, sf):
+    x = inputs.queries(spark, sf, 3).withColumn("x", F.abs("x") + 1)
+    return score.normalized(x, "sum").select("qid", "col_id", _six("x"))
+
+
+@query(sql("coo x3", "SELECT qid, col_id, round((x + 1) / sqrt(sum((x + 1) * (x + 1)) OVER (PARTITION BY qid)), 6) AS x FROM x3"))
+def normalize_l2(spark, sf):
+    return score.normalized(inputs.queries(spark, sf, 3).withColumn("x", F.col("x") + 1), "l2").select("qid", "col_id", _six("x"))
+
+
+@query(sql("coo", "SELECT round(sum((a.val - b.val) * (a.val - b.val)), 6) AS distance FROM coo a JOIN coo b USING (col_id) WHERE a.row_id = 0 AND b.row_id = 1"))
+def sq_euclidean(spark, sf):
+    row = lambda i: inputs.triples(spark, sf).filter(F.col("row_id") == i).select("col_id", F.col("val").alias("x"))
+    return score.squared_distance(row(0), row(1)).select(_six("distance"))
+
+
+@query(sql("coo x3", "SELECT qid, col_id, 2.5::DOUBLE * x + 1 AS y FROM x3"))
+def axpb(spark, sf):
+    return inputs.queries(spark, sf, 3).select("qid", "col_id", (F.lit(2.5) * F.col("x") + 1).alias("y"))
+
+
+@query("SELECT a.vec_id AS row_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b")
+def dense_dot_product(spark, sf):
+    a = inputs.dense(spark, sf)
+    one = F.broadcast(a.filter("row_id = 0").select(F.col("embedding").alias("x")))  # one row
+    return a.crossJoin(one).select("row_id", F.round(score.dense_dot(F.col("embedding"), F.col("x")), 6).alias("score"))
+
+
+# -- top k ---------------------------------------------------------------------------------------------------------
+
+_FLOAT = ", s AS (SELECT x{n}.qid, c.row_id, sum(val * x) AS score FROM coo c JOIN x{n} USING (col_id) GROUP BY ALL)"
+
+
+@query(sql("coo x5", _FLOAT.format(n=5) + ", t AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id DESC) AS INTEGER) AS rank, row_id, score FROM s) SELECT qid, rank, row_id, round(score, 6) AS score FROM t WHERE rank <= 100"))
+def topk_exact(spark, sf):
+    return topk.topk(score.multiply(inputs.triples(spark, sf), inputs.queries(spark, sf, 5), cells=320), 100).select("qid", "rank", "row_id", _six("score"))
+
+
+@query(sql("coo x5", _FLOAT.format(n=5) + ", t AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id DESC) AS INTEGER) AS rank, row_id, score FROM s) SELECT qid, rank, row_id, round(score, 6) AS score FROM t WHERE rank <= 100"))
+def topk_dense_batch(spark, sf):
+    a = inputs.dense(spark, sf)
+    q = np.array([r["embedding"] for r in a.filter("row_id < 5").orderBy("row_id").collect()], "f8")  # five queries
+    return topk.topk(score.dense_topk(a, q, 100), 100).select("qid", "rank", "row_id", _six("score"))
+
+
+def _int_topk(order: str, where: str = "") -> str:
+    return sql("coo x5", _INT + f", t AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY {order}) AS INTEGER) AS rank, row_id, score FROM s {where}) SELECT * FROM t WHERE rank <= 50")
+
+
+@query(_int_topk("score, row_id"))
+def topk_ascending(spark, sf):
+    return topk.topk(_int_scores(spark, sf), 50, ascending=True)
+
+
+@query(_int_topk("score DESC, row_id DESC"))
+def topk_int(spark, sf):
+    return topk.topk(_int_scores(spark, sf), 50)
+
+
+@query(_int_topk("score DESC, row_id DESC", "WHERE score > 0"))
+def topk_positive_only(spark, sf):
+    return topk.topk(_int_scores(spark, sf), 50, least=0)
+
+
+_PARTS = ", r AS (SELECT count(*) AS n FROM embeddings), p AS (SELECT s.*, CAST(least(row_id // (n // 8), 7) AS INTEGER) AS part FROM s, r), c AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY qid, part ORDER BY score DESC, row_id DESC) <= 16)"
+
+
+def _candidates(spark, sf) -> DataFrame:
+    n = inputs.dense(spark, sf).count()
+    return topk.candidates(_int_scores(spark, sf), layout.split_of(F.col("row_id"), n, 8), 8, 128)
+
+
+@query(sql("coo x5", _INT + _PARTS + " SELECT qid, part, row_id, score FROM c"))
+def topk_partitioned(spark, sf):
+    return _candidates(spark, sf)
+
+
+@query(sql("coo x5", _INT + _PARTS + ", t AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id DESC) AS INTEGER) AS rank, row_id, score FROM c) SELECT * FROM t WHERE rank <= 50"))
+def topk_partition_merge(spark, sf):
+    return topk.topk(_candidates(spark, sf), 50)
+
+
+@query(sql("coo x5", _INT + _PARTS + " SELECT qid, part, count(*) AS n FROM c SEMI JOIN (SELECT qid, row_id FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id DESC) <= 100) g USING (qid, row_id) GROUP BY ALL"))
+def candidates_per_partition(spark, sf):
+    best = topk.topk(_int_scores(spark, sf), 100).select("qid", "row_id")
+    return _candidates(spark, sf).join(best, ["qid", "row_id"], "left_semi").groupBy("qid", "part").agg(F.count("*").alias("n"))
+
+
+@query(sql("coo x5", _INT + _PARTS + ", g AS (SELECT qid, row_id FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id DESC) <= 100) SELECT g.qid, g.row_id FROM g ANTI JOIN c USING (qid, row_id)"))
+def topk_partition_loss(spark, sf):
+    best = topk.topk(_int_scores(spark, sf), 100).select("qid", "row_id")
+    return best.join(_candidates(spark, sf).select("qid", "row_id"), ["qid", "row_id"], "left_anti")
+
+
+@query(sql("coo x5", _INT + ", r AS (SELECT count(*) AS n FROM embeddings), l AS (SELECT row_id, CAST(least(row_id // (n // 8), 7) AS INTEGER) AS part, (row_number() OVER (PARTITION BY CAST(least(row_id // (n // 8), 7) AS INTEGER) ORDER BY row_id, col_id) - 1) // 30 AS pkt FROM q, r), w AS (SELECT part, row_id, min(pkt) AS first, max(pkt) AS pkt FROM l GROUP BY ALL), o AS (SELECT part, row_id, CAST(first >= pkt AS INTEGER) AS lane FROM w QUALIFY row_number() OVER (PARTITION BY part, pkt, first < pkt ORDER BY row_id) = 1) SELECT qid, part, lane, row_id, score FROM s JOIN o USING (row_id) QUALIFY row_number() OVER (PARTITION BY qid, part, lane ORDER BY score DESC, row_id DESC) <= 8"))
+def topk_lanes(spark, sf):
+    n = inputs.dense(spark, sf).count()
+    return topk.lane_candidates(reduce.quantize(inputs.triples(spark, sf)), _int_scores(spark, sf), layout.split_of(F.col("row_id"), n, 8))
+
+
+# -- two stages ----------------------------------------------------------------------------------------------------
+
+
+def _two_stage_sql(n: int, ratio: float, ck: int, split: int, k: int) -> str:
+    pruned = f"me AS (SELECT avg(abs(val)) AS mean FROM coo WHERE val <> 0), pw AS (SELECT *, count(*) OVER (PARTITION BY row_id) AS n, min(abs(val)) OVER (PARTITION BY row_id) AS least, row_number() OVER (PARTITION BY row_id ORDER BY abs(val) DESC, col_id) AS place FROM coo WHERE val <> 0), pr AS (SELECT row_id, col_id, val FROM pw, me WHERE place <= ceil(n * {ratio}::DOUBLE) OR least > mean)"
+    pruned = pruned if ratio < 1 else "pr AS (SELECT * FROM coo)"
+    xq = _XQ.replace("x5", f"x{n}")
+    return (
+        f", {pruned}, m AS (SELECT max(abs(val)) AS mx FROM pr), q AS (SELECT row_id, col_id, CAST(greatest(-32, least(31, round_even(31::DOUBLE * (val / mx), 0))) AS INTEGER) AS q FROM pr, m), {xq},"
+        " s AS (SELECT xq.qid, q.row_id, CAST(sum(q.q * xq.q) AS BIGINT) AS score FROM q JOIN xq USING (col_id) GROUP BY ALL), r AS (SELECT count(*) AS n FROM embeddings),"
+        f" c AS (SELECT qid, row_id, CAST(least(row_id // (n // {split}), {split - 1}) AS INTEGER) AS part, score FROM s, r QUALIFY row_number() OVER (PARTITION BY qid, part ORDER BY score DESC, row_id DESC) <= {ck // split}),"
+        f" e AS (SELECT c.qid, c.row_id, sum(val * x) AS score FROM c JOIN coo USING (row_id) JOIN x{n} ON x{n}.qid = c.qid AND x{n}.col_id = coo.col_id GROUP BY ALL),"
+        f" two AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id DESC) AS INTEGER) AS rank, row_id, score FROM e QUALIFY rank <= {k})"
+    )
+
+
+_SHOW = " SELECT qid, rank, row_id, round(score, 6) AS score FROM two"
+
+
+def _two(spark, sf, number: int, k: int, ck: int, split: int, ratio: float = 1.0) -> DataFrame:
+    a = inputs.triples(spark, sf)
+    n = inputs.dense(spark, sf).count()
+    return search.two_stage(a, inputs.queries(spark, sf, number), n, k, ck, split=split, ratio=ratio, cells=64 * number)
+
+
+@query(sql("coo x1", _two_stage_sql(1, 1.0, 256, 1, 100) + _SHOW))
+def two_stage_topk(spark, sf):
+    return _two(spark, sf, 1, 100, 256, 1).select("qid", "rank", "row_id", _six("score"))
+
+
+@query(sql("coo x3", _two_stage_sql(3, 0.5, 256, 8, 100) + _SHOW))
+def two_stage_topk_pruned(spark, sf):
+    return _two(spark, sf, 3, 100, 256, 8, 0.5).select("qid", "rank", "row_id", _six("score"))
+
+
+@query(sql("coo x5", _two_stage_sql(5, 1.0, 128, 8, 50) + _SHOW))
+def two_stage_batch(spark, sf):
+    return _two(spark, sf, 5, 50, 128, 8).select("qid", "rank", "row_id", _six("score"))
+
+
+# -- evaluation ----------------------------------------------------------------------------------------------------
+
+_GOLD = ", s0 AS (SELECT x5.qid, c.row_id, sum(val * x) AS score FROM coo c JOIN x5 USING (col_id) GROUP BY ALL), gold AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id DESC) AS INTEGER) AS rank, row_id, score FROM s0 QUALIFY rank <= 100)"
+_LISTS = _GOLD + _two_stage_sql(5, 0.5, 128, 8, 100).replace(" two AS", " test AS")
+
+
+def _gold(spark, sf) -> DataFrame:
+    return topk.topk(score.multiply(inputs.triples(spark, sf), inputs.queries(spark, sf, 5), cells=320), 100)
+
+
+def _test(spark, sf) -> DataFrame:
+    return _two(spark, sf, 5, 100, 128, 8, 0.5)
+
+
+def _found(spark, sf) -> DataFrame:
+    n = inputs.dense(spark, sf).count()
+    return search.approximate(inputs.triples(spark, sf), inputs.queries(spark, sf, 5), n, 128, split=8, ratio=0.5, cells=320)
+
+
+_PRECISION = _LISTS + ", ks(k) AS (VALUES (1), (8), (16), (32), (50), (75), (100)), pr_k AS (SELECT gold.qid, k, sum(CASE WHEN c.row_id IS NOT NULL THEN 1 ELSE 0 END) / k::DOUBLE AS precision FROM gold JOIN ks ON rank <= k LEFT JOIN (SELECT DISTINCT qid, row_id FROM c) c ON c.qid = gold.qid AND c.row_id = gold.row_id GROUP BY gold.qid, k)"
+
+
+@query(sql("coo x5", _PRECISION + " SELECT qid, k, round(precision, 6) AS precision FROM pr_k"))
+def precision_at_k(spark, sf):
+    return evaluate.precision(_gold(spark, sf), _found(spark, sf)).select("qid", "k", _six("precision"))
+
+
+@query(sql("coo x5", _PRECISION + " SELECT k, round(avg(precision), 6) AS avg_precision, round(avg(CAST(precision = 1 AS DOUBLE)), 6) AS recall FROM pr_k GROUP BY k"))
+def avg_precision_recall(spark, sf):
+    return evaluate.summary(evaluate.precision(_gold(spark, sf), _found(spark, sf))).select("k", _six("avg_precision"), _six("recall"))
+
+
+@query(sql("coo x5", _PRECISION + " SELECT round(sum(p / k), 6) AS metric FROM (SELECT k, avg(precision) AS p FROM pr_k GROUP BY k)"))
+def convergence_metric(spark, sf):
+    return evaluate.convergence(evaluate.summary(evaluate.precision(_gold(spark, sf), _found(spark, sf)))).select(_six("metric"))
+
+
+@query(sql("coo x5", _LISTS + " SELECT i.qid, round(coalesce(g.got, 0) / i.ideal, 6) AS ndcg FROM (SELECT qid, sum(score / log2(rank + 1)) AS ideal FROM gold GROUP BY qid) i LEFT JOIN (SELECT test.qid, sum(gold.score / log2(test.rank + 1)) AS got FROM test JOIN gold ON gold.qid = test.qid AND gold.row_id = test.row_id GROUP BY ALL) g USING (qid)"))
+def ndcg_value(spark, sf):
+    return evaluate.ndcg_by_value(_gold(spark, sf), _test(spark, sf)).select("qid", _six("ndcg"))
+
+
+def _ndcg_rank(n: int) -> str:
+    return f"(SELECT qid, sum(({n} - rank + 1) / log2(rank + 1)) AS ideal FROM gold WHERE rank <= {n} GROUP BY qid) i LEFT JOIN (SELECT gold.qid, sum(({n} - test.rank + 1) / log2(gold.rank + 1)) AS got FROM gold JOIN test ON gold.qid = test.qid AND gold.row_id = test.row_id WHERE gold.rank <= {n} AND test.rank <= {n} GROUP BY ALL) g USING (qid)"
+
+
+@query(sql("coo x5", _LISTS + f" SELECT i.qid, round(coalesce(g.got, 0) / i.ideal, 6) AS ndcg FROM {_ndcg_rank(100)}"))
+def ndcg_rank(spark, sf):
+    return evaluate.ndcg_by_rank(_gold(spark, sf), _test(spark, sf)).select("qid", _six("ndcg"))
+
+
+@query(sql("coo x5", _LISTS + " " + " UNION ALL ".join(f"SELECT {n} AS bound, i.qid, round(coalesce(g.got, 0) / i.ideal, 6) AS ndcg FROM {_ndcg_rank(n)}" for n in (10, 20, 50))))
+def bounded_ndcg(spark, sf):
+    gold, test = _gold(spark, sf), _test(spark, sf)
+    parts = [evaluate.ndcg_by_rank(gold, test, n).select(F.lit(n).alias("bound"), "qid", _six("ndcg")) for n in (10, 20, 50)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(sql("coo x5", _LISTS + ", b AS (SELECT qid, rank, row_id, 0 AS w FROM gold WHERE rank <= 20 UNION ALL SELECT qid, rank, row_id, 1 FROM test WHERE rank <= 20), d AS (SELECT *, chr(CAST(256 + dense_rank() OVER (PARTITION BY qid ORDER BY row_id) AS INTEGER)) AS ch FROM b) SELECT qid, CAST(levenshtein(string_agg(ch, '' ORDER BY rank) FILTER (w = 0), string_agg(ch, '' ORDER BY rank) FILTER (w = 1)) AS INTEGER) AS distance FROM d GROUP BY qid"))
+def edit_distance_topk(spark, sf):
+    return evaluate.edit_distance(_gold(spark, sf), _test(spark, sf), 20)
+
+
+@query(sql("coo x5", _LISTS + " SELECT coalesce(g.qid, t.qid) AS qid, CAST(sum(CASE WHEN g.row_id IS DISTINCT FROM t.row_id THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM (SELECT * FROM gold WHERE rank <= 50) g FULL JOIN (SELECT * FROM test WHERE rank <= 50) t ON g.qid = t.qid AND g.rank = t.rank GROUP BY 1"))
+def rank_errors(spark, sf):
+    return evaluate.positions_differ(_gold(spark, sf), _test(spark, sf), 50)
+
+
+@query(sql("coo x5", _LISTS + ", j AS (SELECT gold.qid, gold.rank, gold.row_id AS a, test.row_id AS b FROM gold JOIN test ON gold.qid = test.qid AND gold.rank = test.rank), l AS (SELECT *, lag(a) OVER w AS pa, lag(b) OVER w AS pb FROM j WINDOW w AS (PARTITION BY qid ORDER BY rank)) SELECT qid, CAST(sum(CASE WHEN a <> b AND NOT coalesce(a = pb AND b = pa, FALSE) THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM l GROUP BY qid"))
+def adjacent_swap_errors(spark, sf):
+    return evaluate.swap_errors(_gold(spark, sf), _test(spark, sf))
+
+
+@query(sql("coo", "SELECT CAST(sum(CASE WHEN abs(val - val2) > 0.005 THEN 1 ELSE 0 END) AS BIGINT) AS mismatches, count(*) AS compared FROM (SELECT val, floor(val * 100) / 100 AS val2 FROM coo)"))
+def array_mismatch(spark, sf):
+    a = inputs.triples(spark, sf)
+    return evaluate.mismatches(a, a.withColumn("val", F.floor(F.col("val") * 100) / 100), ["row_id", "col_id"], "val", 0.005)
+
+
+@query("SELECT round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS st_dev FROM events WHERE event_id >= 2")
+def run_stats_skip(spark, sf):
+    runs = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("run"), "value")
+    return evaluate.run_stats(runs, "value", 2).select(_six("mean"), _six("st_dev"))
+
+
+@query(sql("coo x5", _LISTS + " SELECT gold.qid, gold.rank, gold.row_id, coalesce(test.rank, 1000) AS place FROM gold LEFT JOIN test ON gold.qid = test.qid AND gold.row_id = test.row_id"))
+def golden_positions(spark, sf):
+    return evaluate.gold_places(_gold(spark, sf), _test(spark, sf))
+
+
+# -- graph ---------------------------------------------------------------------------------------------------------
+
+
+@query(sql("edges", ", d AS (SELECT DISTINCT src, dst FROM edges) SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS weight FROM d"))
+def out_degree_weights(spark, sf):
+    return graph.out_degree_weights(inputs.edges(spark, sf).distinct())
+
+
+def _pagerank_sql(steps: int) -> str:
+    ctes = "d AS (SELECT DISTINCT src, dst FROM edges), nodes AS (SELECT i AS node FROM range(60) t(i)), w AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS weight FROM d), r0 AS (SELECT node, 1.0::DOUBLE / 60 AS rank FROM nodes)"
+    for i in range(steps):
+        ctes += f", l{i} AS (SELECT coalesce(sum(rank), 0) AS lost FROM r{i} WHERE node NOT IN (SELECT src FROM w)), g{i} AS (SELECT dst, sum(weight * rank) AS given FROM w JOIN r{i} ON src = node GROUP BY dst), r{i + 1} AS (SELECT node, 0.85::DOUBLE * coalesce(given, 0) + 0.15::DOUBLE / 60 + 0.85::DOUBLE * lost / 60 AS rank FROM nodes LEFT JOIN g{i} ON dst = node, l{i})"
+    return sql("edges", f", {ctes} SELECT node, round(rank, 9) AS rank FROM r{steps}")
+
+
+@query(_pagerank_sql(5))
+def pagerank_5_iters(spark, sf):
+    e = inputs.edges(spark, sf).distinct()
+    nodes = spark.range(60).withColumnRenamed("id", "node")
+    return graph.pagerank(graph.out_degree_weights(e), nodes, iterations=5).select("node", F.round("rank", 9).alias("rank"))
+
+
+# -- tuning, sources: no SQL ---------------------------------------------------------------------------------------
+
+
+@query()
+def prune_ratio_search(spark, sf):
+    a, n = inputs.triples(spark, sf), inputs.dense(spark, sf).count()
+    return tune.prune_ratio(a, inputs.queries(spark, sf, 5), n, 50, 128, share=0.99, cells=320, split=8)
+
+
+@query()
+def bits_sweep(spark, sf):
+    a, n = inputs.triples(spark, sf), inputs.dense(spark, sf).count()
+    return tune.sweep(a, inputs.queries(spark, sf, 5), n, 50, [{"ck": 128, "split": 8, "bits": b} for b in (4, 5, 6)], cells=320)
+
+
+@query()
+def ck_sweep(spark, sf):
+    a, n = inputs.triples(spark, sf), inputs.dense(spark, sf).count()
+    return tune.sweep(a, inputs.queries(spark, sf, 5), n, 50, [{"ck": c, "split": s, "bits": 6} for c in (64, 128, 256) for s in (1, 8)], cells=320)
+
+
+@query()
+def closed_form_precision(spark, sf):
+    rows = [(p, k, precision_lower_bound(100_000, p, k, 8), expected_precision(100_000, p, k, 8)) for p in (8, 16, 32) for k in (8, 16, 32, 50, 75, 100)]
+    return spark.createDataFrame(rows, "parts int, k int, lower_bound double, expected double")
+
+
+@query()
+def generate_uniform(spark, sf):
+    return generators.sparse(spark, 2000, 256, 20, "uniform", seed=1)
+
+
+@query()
+def generate_gamma(spark, sf):
+    return generators.sparse(spark, 2000, 256, 20, "gamma", values="uniform01", seed=2)
+
+
+@query()
+def generate_masked(spark, sf):
+    return generators.masked(spark, 500, 64, 0.1, "gamma", seed=3)
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sievelight-')}"
+    return f"{base.rstrip('/')}/{name}-{np.random.default_rng().integers(1 << 62)}"
+
+
+@query(sql("sp", "SELECT row_id, col_id, val FROM sp WHERE row_id < 500"))
+def mtx_roundtrip(spark, sf):
+    a, path = inputs.sparse(spark, sf).filter("row_id < 500"), _folder(spark, "mtx")
+    matrix_market.write(a, path, MatrixMeta(500, inputs.SPARSE_COLS, 0))
+    return matrix_market.read(spark, path)[0]
+
+
+@query("SELECT vec_id AS row_id, 'w' || vec_id AS token, round(CAST(embedding[1] AS DOUBLE), 6) AS first_, len(embedding) AS size_ FROM embeddings")
+def word_vector_roundtrip(spark, sf):
+    path = _folder(spark, "vectors")
+    rows = inputs.dense(spark, sf).select(F.concat(F.lit("w"), "row_id").alias("token"), "embedding", "row_id")
+    word_vectors.write(rows.coalesce(1).sortWithinPartitions("row_id"), path)
+    return word_vectors.read(spark, path).select("row_id", "token", F.round(F.col("embedding")[0], 6).alias("first_"), F.size("embedding").cast("bigint").alias("size_"))
+
+
+@query("SELECT * FROM (VALUES (8, 0.995::DOUBLE, 0.4::DOUBLE), (100, 0.9721::DOUBLE, 0.03::DOUBLE)) t(k, avg_precision, recall)")
+def result_log(spark, sf):
+    path = _folder(spark, "log")
+    lines = ["epoch 1", "K=8\tavg_precision:99.5%\trecall=40.0%", "nnz: 12", "K=100\tavg_precison:97.21%\trecall:3.0%"]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    return reports.read_log(spark, path).select("k", F.round("avg_precision", 6).alias("avg_precision"), F.round("recall", 6).alias("recall"))
+
+
+@query(_int_topk("score DESC, row_id DESC"))
+def streamed_queries(spark, sf):
+    from sievelight.streaming import answer_stream
+
+    base = _folder(spark, "stream")
+    q, x = reduce.quantize(inputs.triples(spark, sf)), reduce.quantize_queries(inputs.queries(spark, sf, 5)).withColumnRenamed("q", "x")
+    x.coalesce(1).write.partitionBy("qid").parquet(f"{base}/in")
+    incoming = spark.readStream.schema(x.select("col_id", "x", "qid").schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    a = q.select("row_id", "col_id", F.col("q").cast("bigint").alias("val"))
+    answer_stream(incoming, a, 50, f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("qid", "rank", "row_id", "score")
+
+
+#: Levels of the quantisers, for reports.
+LEVELS = {bits: levels(bits) for bits in (4, 5, 6)}
