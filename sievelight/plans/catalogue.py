@@ -629,12 +629,12 @@ def mtx_roundtrip(spark, sf):
     return matrix_market.read(spark, path)[0]
 
 
-@query("SELECT vec_id AS row_id, 'w' || vec_id AS token, round(CAST(embedding[1] AS DOUBLE), 6) AS first_, len(embedding) AS size_ FROM embeddings")
+@query("SELECT vec_id AS row_id, 'w' || vec_id AS token, CAST(embedding[1] AS DOUBLE) AS first_, len(embedding) AS size_ FROM embeddings")
 def word_vector_roundtrip(spark, sf):
     path = _folder(spark, "vectors")
     rows = inputs.dense(spark, sf).select(F.concat(F.lit("w"), "row_id").alias("token"), "embedding", "row_id")
     word_vectors.write(rows.coalesce(1).sortWithinPartitions("row_id"), path)
-    return word_vectors.read(spark, path).select("row_id", "token", F.round(F.col("embedding")[0], 6).alias("first_"), F.size("embedding").cast("bigint").alias("size_"))
+    return word_vectors.read(spark, path).select("row_id", "token", F.col("embedding")[0].cast("float").cast("double").alias("first_"), F.size("embedding").cast("bigint").alias("size_"))
 
 
 @query("SELECT * FROM (VALUES (8, 0.995::DOUBLE, 0.4::DOUBLE), (100, 0.9721::DOUBLE, 0.03::DOUBLE)) t(k, avg_precision, recall)")
