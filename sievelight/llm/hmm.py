@@ -5,8 +5,8 @@ most frequent words are classes of their own; any other word's class is a hash o
 seen has a class too. Baum-Welch runs over all training texts: each task sums expected counts, the sums are added up,
 and the driver re-estimates a model of fixed size. Scoring is the scaled forward recursion, exact for whole texts.
 
-What depends on the corpus's vocabulary stays in tables: counts of the ``HEAD`` most frequent words go to every task,
-a bounded table, and the other words of each text find their counts by a join.
+What depends on the corpus's vocabulary stays in tables: counts of the most frequent words, ``HEAD`` at most, go to every
+task, a bounded table, and the other words of each text find their counts by a join.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sievelight.llm import common
 
-#: Words whose counts every task holds.
+#: Words at most whose counts every task holds.
 HEAD = 200_000
 #: Count that every word type has besides its own, also the one type that stands for all words never seen.
 ADDED = 0.1
@@ -225,14 +225,25 @@ def count_words(texts: DataFrame) -> DataFrame:
 def lexicon(words: DataFrame, ends: int, s: Settings, head: int = HEAD) -> Lexicon:
     """The head of a table of word counts and the corpus's sums; ``ends``: training texts."""
     sums = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
-    top = words.orderBy(F.desc("c"), "word").limit(max(head, s.own)).toArrow()
-    keys, counts = top.column("word").to_pylist(), top.column("c").to_numpy().astype("i8")
+    # the head: all words above a count that at most ``head`` words reach, by a histogram of a few hundred bins
+    size = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")
+    bins = {r["b"]: r["n"] for r in words.groupBy(size.alias("b")).agg(F.count("*").alias("n")).collect()}
+    least, n = None, 0
+    for b in sorted(bins, reverse=True):
+        n += bins[b]
+        if n > max(head, s.own):
+            break
+        least = b
+    top = words.filter(size >= least).toArrow() if least is not None else None
+    found = sorted(zip(top.column("c").to_pylist(), top.column("word").to_pylist(), strict=True), key=lambda x: (-x[0], x[1])) if top is not None else []
+    keys, counts = [w for _, w in found], np.array([c for c, _ in found], "i8")
     own = set(keys[: s.own])
     mass = np.full(s.classes, ADDED)  # of a word of the class that was never seen
     for r in words.groupBy(ending_sql(F.col("word"), s).alias("k")).agg((F.sum("c") + ADDED * F.count("*")).alias("m")).collect():  # a row a class
         mass[r["k"]] += r["m"]
     for w, c in zip(keys[: s.own], counts[: s.own].tolist(), strict=True):
         mass[ending(w, s)] -= c + ADDED
+    mass[: s.own] = 0  # a small corpus may have fewer
     mass[: len(own)] = counts[: len(own)] + ADDED
     mass[-1] = ends + ADDED
     return Lexicon(s, keys, counts, mass, sums["n"] + ends, sums["v"] + (ends > 0), ends)
@@ -301,7 +312,7 @@ def score(docs: DataFrame, words: DataFrame, lex: Lexicon, model: Model) -> Data
         from pyspark import TaskContext
 
         own, m = held.value.prepare(), now.value
-        log_count, log_mass, below = np.log10(own.counts + ADDED), np.log10(own.mass), np.log10(own.below)
+        log_count, log_mass, below = np.log10(own.counts + ADDED), np.log10(np.maximum(own.mass, 1e-300)), np.log10(own.below)
         # of a word in its class: nothing for own words and the end, count over mass for the others
         inside = np.append(log_mass[: s.own], [0.0] * (s.classes - s.own))
         row = TaskContext.get().partitionId() << 40
