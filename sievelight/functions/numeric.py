@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: 1.0 in fixed point with 26 fraction bits.
+#: Fixed value: 1.0 in fixed point with 26 fraction bits.
 FIXED_ONE = 1 << 26
 
 

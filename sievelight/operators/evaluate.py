@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Depths at which precision is reported.
+#: Depths at which precision is reported; a depth weighs its reciprocal in the convergence metric.
 DEPTHS = (1, 8, 16, 32, 50, 75, 100)
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import MatrixMeta
 
-#: Rows of a table of offsets that may be broadcast.
-SMALL_ROWS = 100_000
+#: Keys of one bucket of a running sum.
+RUN_KEYS = 65_536
 
 
 def to_triples(dense: DataFrame, row: str = "row_id", vector: str = "embedding", keep_zeros: bool = True) -> DataFrame:
@@ -55,18 +55,25 @@ def lengths(triples: DataFrame, by: str = "row_id") -> DataFrame:
     return triples.groupBy(by).agg(F.count("*").alias("nnz"))
 
 
-def pointers(triples: DataFrame, by: str = "row_id", buckets: int = 1024) -> DataFrame:
-    """Where each row's entries begin and end in row order, as (key, begin, end).
+def running(rows: DataFrame, value: str, part: str, key: str, order: tuple[str, ...], out: str, keys: int = RUN_KEYS) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over a part's rows before and with this one, by ``order``, whose first column
+    is the integer ``key``.
 
-    A running sum without one task for all rows: key ranges are summed first, and each is run through on its own.
+    Buckets of ``keys`` keys are summed first, then each is run through on its own: no task sees a whole part, and the
+    table of buckets is smaller than the rows by that factor.
     """
-    counts = lengths(triples, by)
-    ends = counts.agg(F.min(by).alias("lo"), F.max(by).alias("hi"))
-    span = F.floor((F.col("hi") - F.col("lo")) / buckets) + 1
-    rows = counts.join(F.broadcast(ends), how="cross").withColumn("range", F.floor((F.col(by) - F.col("lo")) / span).cast("long"))  # one row
-    sums = rows.groupBy("range").agg(F.sum("nnz").alias("n")).select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("before"))  # a row a range
-    end = F.sum("nnz").over(W.partitionBy("range").orderBy(by)) + F.col("before")
-    return rows.join(F.broadcast(sums), "range").select(by, (end - F.col("nnz")).alias("begin"), end.alias("end"))
+    rows = rows.withColumn("bucket_", F.floor(F.col(key) / keys))
+    sums = rows.groupBy(part, "bucket_").agg(F.sum(value).alias("n"))
+    sums = sums.select(F.col(part).alias("part_"), F.col("bucket_").alias("of_"), (F.sum("n").over(W.partitionBy(part).orderBy("bucket_")) - F.col("n")).alias("before_"))
+    own = F.sum(value).over(W.partitionBy(part, "bucket_").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    placed = rows.withColumn("own_", own).join(sums, (F.col(part) == F.col("part_")) & (F.col("bucket_") == F.col("of_")))
+    return placed.withColumn(out, F.col("own_") + F.col("before_")).drop("bucket_", "part_", "of_", "before_", "own_")
+
+
+def pointers(triples: DataFrame, by: str = "row_id") -> DataFrame:
+    """Where each row's entries begin and end in row order, as (key, begin, end)."""
+    counts = lengths(triples, by).withColumn("all_", F.lit(0))
+    return running(counts, "nnz", "all_", by, (by,), "end").select(by, (F.col("end") - F.col("nnz")).alias("begin"), "end")
 
 
 def affine_shuffle(triples: DataFrame, rows: int, a: int, b: int) -> DataFrame:
@@ -131,22 +138,27 @@ def histogram(triples: DataFrame, width: float, origin: float = 0.0) -> DataFram
     return triples.groupBy(F.floor((F.col("val") - origin) / width).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
+#: Entries in a packet of either format.
+ROW_BIT_LANES, ROW_END_LANES = 30, 11
+
+
 # -- packets -------------------------------------------------------------------------------------------------------
 
 
-def _placed(q: DataFrame, part: Column, lanes: int) -> DataFrame:
-    """Each entry's place in its part: pos, pkt, lane, and whether it starts a new row."""
-    w = W.partitionBy("part").orderBy("row_id", "col_id")
-    rows = q.withColumn("part", part)
-    rows = rows.withColumn("pos", F.row_number().over(w) - 1).withColumn("prev", F.lag("row_id").over(w))
-    new = (F.col("prev").isNotNull() & (F.col("prev") != F.col("row_id"))).cast("int")
-    return rows.withColumn("new", new).withColumn("pkt", F.expr(f"pos div {lanes}")).withColumn("lane", (F.col("pos") % lanes).cast("int"))
+def placed(q: DataFrame, part: Column, lanes: int) -> DataFrame:
+    """Each entry's place in its part: pos, pkt, lane, whether it starts a row (first), and whether it starts one that is
+    not the part's first (new)."""
+    rows = q.withColumn("part", part).withColumn("one", F.lit(1))
+    rows = running(rows, "one", "part", "row_id", ("row_id", "col_id"), "pos").withColumn("pos", F.col("pos") - 1)
+    first = F.row_number().over(W.partitionBy("part", "row_id").orderBy("col_id")) == 1
+    rows = rows.withColumn("first", first.cast("int")).withColumn("new", (first & (F.col("pos") > 0)).cast("int"))
+    return rows.drop("one").withColumn("pkt", F.expr(f"pos div {lanes}")).withColumn("lane", (F.col("pos") % lanes).cast("int"))
 
 
-def row_bit_packets(q: DataFrame, part: Column, lanes: int = 30) -> DataFrame:
+def row_bit_packets(q: DataFrame, part: Column, lanes: int = ROW_BIT_LANES) -> DataFrame:
     """Packets of ``lanes`` entries (row_id, col_id, q) with one bit an entry: set where the row differs from the entry
     before, across packets of a part too. The last packet is filled with zeros."""
-    rows = _placed(q, part, lanes)
+    rows = placed(q, part, lanes)
     got = rows.groupBy("part", "pkt").agg(
         F.sum(F.expr("shiftleft(cast(new as bigint), lane)")).alias("row_bits"),
         F.array_sort(F.collect_list(F.struct("lane", "col_id", "q"))).alias("e"),
@@ -158,19 +170,17 @@ def row_bit_packets(q: DataFrame, part: Column, lanes: int = 30) -> DataFrame:
 
 def decode_row_bits(packets: DataFrame) -> DataFrame:
     """Entries of the packets: part, the row's number in the order of the part's rows, col_id, q."""
-    own = F.bit_count("row_bits")
-    w = W.partitionBy("part").orderBy("pkt")
-    rows = packets.withColumn("before", F.sum(own).over(w) - own)
+    rows = running(packets.withColumn("bits_", F.bit_count("row_bits")), "bits_", "part", "pkt", ("pkt",), "upto_").withColumn("before", F.col("upto_") - F.col("bits_"))
     rows = rows.select("part", "before", "row_bits", F.posexplode(F.slice(F.arrays_zip("cols", "vals"), 1, F.col("used"))).alias("lane", "e"))
     upto = F.expr("bit_count(row_bits & (shiftleft(1L, lane + 1) - 1))")
     return rows.select("part", (F.col("before") + upto).cast("bigint").alias("row_no"), F.col("e.cols").alias("col_id"), F.col("e.vals").alias("q"))
 
 
-def row_end_packets(triples: DataFrame, part: Column, lanes: int = 11) -> DataFrame:
+def row_end_packets(triples: DataFrame, part: Column, lanes: int = ROW_END_LANES) -> DataFrame:
     """Packets of ``lanes`` entries with the running number of entries at each row's end and a flag whether the packet's
     first entry starts a row."""
-    rows = _placed(triples, part, lanes)
-    ends = rows.groupBy("part", "pkt", "row_id").agg(F.count("*").alias("n"), F.min(F.when(F.col("lane") == 0, F.when(F.col("prev").isNull(), 1).otherwise(F.col("new")))).alias("starts"))
+    rows = placed(triples, part, lanes)
+    ends = rows.groupBy("part", "pkt", "row_id").agg(F.count("*").alias("n"), F.min(F.when(F.col("lane") == 0, F.col("first"))).alias("starts"))
     w = W.partitionBy("part", "pkt").orderBy("row_id")
     ends = ends.withColumn("row_end", F.sum("n").over(w))
     return ends.groupBy("part", "pkt").agg(F.max("starts").cast("int").alias("new_row"), F.array_sort(F.collect_list("row_end")).alias("row_ends"), F.sum("n").alias("used"))

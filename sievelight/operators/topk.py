@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievelight.operators import layout
+
 
 def topk(scores: DataFrame, k: int, ascending: bool = False, least: float | None = None) -> DataFrame:
     """(qid, rank, row_id, score), rank from 1. ``least``: scores at or below it never enter."""
@@ -28,8 +30,7 @@ def lane_candidates(triples: DataFrame, scores: DataFrame, part: Column, lanes:
     """Candidates of hardware with two result lanes a part: of each packet of ``lanes`` entries only two finished rows
     are offered, the one carried over from the packet before (lane 0) and the first that starts in it (lane 1); each
     lane keeps its ``keep`` best. Rows are offered in the packet where they end."""
-    order = W.partitionBy("part").orderBy("row_id", "col_id")
-    placed = triples.withColumn("part", part).withColumn("pkt", F.floor((F.row_number().over(order) - 1) / lanes))
+    placed = layout.placed(triples, part, lanes)
     rows = placed.groupBy("part", "row_id").agg(F.min("pkt").alias("first"), F.max("pkt").alias("pkt"))
     carried = (F.col("first") < F.col("pkt")).cast("int")
     place = F.row_number().over(W.partitionBy("part", "pkt", "carried").orderBy("row_id"))
