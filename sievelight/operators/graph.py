@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievelight.sources import scratch
+
 
 def out_degree_weights(edges: DataFrame) -> DataFrame:
     """(src, dst, weight): 1 over the number of edges that leave src."""
     return edges.select("src", "dst", (1.0 / F.count("*").over(W.partitionBy("src"))).alias("weight"))
 
 
-def _shared(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='sievelight-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
 def pagerank(weights: DataFrame, nodes: DataFrame, alpha: float = 0.85, iterations: int = 20, tolerance: float | None = None) -> DataFrame:
     """(node, rank) after ``iterations`` steps, or when the squared change falls to ``tolerance``.
 
@@ -30,7 +21,7 @@ def pagerank(weights: DataFrame, nodes: DataFrame, alpha: float = 0.85, iteratio
     in the shared folder, so lineage stays short and a lost executor costs one step.
     """
     spark = weights.sparkSession
-    folder = f"{_shared(spark).rstrip('/')}/pagerank-{uuid.uuid4().hex}"
+    folder = scratch.folder(spark, "pagerank")
     nodes = nodes.select("node").distinct()
     weights.write.parquet(f"{folder}/weights")
     weights = spark.read.parquet(f"{folder}/weights")

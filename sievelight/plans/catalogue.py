@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -13,7 +12,7 @@ from sievelight.functions import MatrixMeta, expected_precision, fixed_point, le
 from sievelight.operators import evaluate, graph, layout, reduce, score, search, topk, tune
 from sievelight.plans import inputs
 from sievelight.plans.inputs import sql
-from sievelight.sources import generators, matrix_market, reports, word_vectors
+from sievelight.sources import generators, matrix_market, reports, scratch, word_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -617,21 +616,24 @@ def generate_masked(spark, sf):
     return generators.masked(spark, 500, 64, 0.1, "gamma", seed=3)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sievelight-')}"
-    return f"{base.rstrip('/')}/{name}-{np.random.default_rng().integers(1 << 62)}"
+@query()
+def accuracy_grid(spark, sf):
+    """100 queries as the published runs have them, at 6 bits and 32 parts."""
+    a, n = inputs.triples(spark, sf), inputs.dense(spark, sf).count()
+    grid = [{"ck": c, "split": 32, "bits": 6, "ratio": r} for c in (256, 512) for r in (1.0, 0.75, 0.5)]
+    return tune.sweep(a, inputs.queries(spark, sf, 100), n, 100, grid, cells=6400)
 
 
 @query(sql("sp", "SELECT row_id, col_id, val FROM sp WHERE row_id < 500"))
 def mtx_roundtrip(spark, sf):
-    a, path = inputs.sparse(spark, sf).filter("row_id < 500"), _folder(spark, "mtx")
+    a, path = inputs.sparse(spark, sf).filter("row_id < 500"), scratch.folder(spark, "mtx")
     matrix_market.write(a, path, MatrixMeta(500, inputs.SPARSE_COLS, 0))
     return matrix_market.read(spark, path)[0]
 
 
 @query("SELECT vec_id AS row_id, 'w' || vec_id AS token, CAST(embedding[1] AS DOUBLE) AS first_, len(embedding) AS size_ FROM embeddings")
 def word_vector_roundtrip(spark, sf):
-    path = _folder(spark, "vectors")
+    path = scratch.folder(spark, "vectors")
     rows = inputs.dense(spark, sf).select(F.concat(F.lit("w"), "row_id").alias("token"), "embedding", "row_id")
     word_vectors.write(rows.coalesce(1).sortWithinPartitions("row_id"), path)
     return word_vectors.read(spark, path).select("row_id", "token", F.col("embedding")[0].cast("float").cast("double").alias("first_"), F.size("embedding").cast("bigint").alias("size_"))
@@ -639,7 +641,7 @@ def word_vector_roundtrip(spark, sf):
 
 @query("SELECT * FROM (VALUES (8, 0.995::DOUBLE, 0.4::DOUBLE), (100, 0.9721::DOUBLE, 0.03::DOUBLE)) t(k, avg_precision, recall)")
 def result_log(spark, sf):
-    path = _folder(spark, "log")
+    path = scratch.folder(spark, "log")
     lines = ["epoch 1", "K=8\tavg_precision:99.5%\trecall=40.0%", "nnz: 12", "K=100\tavg_precison:97.21%\trecall:3.0%"]
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
     return reports.read_log(spark, path).select("k", F.round("avg_precision", 6).alias("avg_precision"), F.round("recall", 6).alias("recall"))
@@ -649,7 +651,7 @@ def result_log(spark, sf):
 def streamed_queries(spark, sf):
     from sievelight.streaming import answer_stream
 
-    base = _folder(spark, "stream")
+    base = scratch.folder(spark, "stream")
     q, x = reduce.quantize(inputs.triples(spark, sf)), reduce.quantize_queries(inputs.queries(spark, sf, 5)).withColumnRenamed("q", "x")
     x.coalesce(1).write.partitionBy("qid").parquet(f"{base}/in")
     incoming = spark.readStream.schema(x.select("col_id", "x", "qid").schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
