@@ -105,6 +105,14 @@ def test_queries_in_spark(spark, make):
     assert toxicity.score(empty, toxicity.fit(empty, labels.limit(0))).count() == 0
 
 
+def test_all_documents_labelled(spark, make):
+    texts, bad = labelled(150, junk, 0)
+    labels = spark.createDataFrame([(i, int(1 - b)) for i, b in enumerate(bad)], "doc_id bigint, quality int")
+    docs = make(list(enumerate(texts)))
+    kept = {r["doc_id"] for r in quality.good(docs, quality.fit(docs, labels, settings=quality.Settings(steps=300))).collect()}
+    assert sum((i in kept) == (b == 0) for i, b in enumerate(bad)) >= 140
+
+
 def test_held_out_labels_are_not_learnt_from(spark, make):
     texts, _ = labelled(30, toxic, 0)
     docs = make(list(enumerate(texts)))
