@@ -245,10 +245,14 @@ def nearest(table: DataFrame, is_query: Column, key: str = "vec_id", column: str
     part, nor do rows without an id. A repeated id should not occur; its rows are all candidates. With ``k`` or fewer
     other rows, all are returned. Other columns are ignored; an empty table gives no rows.
     """
+    common.ship(table.sparkSession)
+    with common.scratch(table.sparkSession):
+        return common.stored(_nearest(table, is_query, key, column, k, settings or Settings()), "nearest", keep=True)
+
+
+def _nearest(table: DataFrame, is_query: Column, key: str, column: str, k: int, s: Settings) -> DataFrame:
     from pyspark.sql import Window as W
 
-    s = settings or Settings()
-    common.ship(table.sparkSession)
     rows, d = _vectors(table, key, column, is_query)
     # of equal vectors the first stands for all; k + 1 of them are enough for any answer
     w = W.partitionBy("v").orderBy("id")

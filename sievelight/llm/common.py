@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -26,6 +27,8 @@ _shipped: dict[str, str] = {}
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python workers, once per application."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # rows hold whole texts
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
@@ -55,13 +58,41 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/sievelight/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``stored`` writes inside, but those with ``keep``, when all is done. What leaves the block
+    must be such a table."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            drop_path(spark, path)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts the lineage and outlives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _open and not keep:
+        _open[-1].append(path)
+    elif keep and len(_open) > 1:
+        _open[-2].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a column of ids that may be broadcast (about 40 bytes each in an executor).
+BROADCAST_IDS = 2_000_000
+
+
+def few(ids: DataFrame, most: int | None = None) -> DataFrame:
+    """A table of distinct ids, marked for a broadcast if it is counted to be small; it must be cheap to read."""
+    return F.broadcast(ids) if ids.count() <= (BROADCAST_IDS if most is None else most) else ids
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a temporary table whose rows are no longer needed."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -102,9 +133,16 @@ def numbered(df: DataFrame, group: str, key: list[str], out: str, buckets: int)
     )
 
 
+def _fresh(name: str, taken: list[str]) -> str:
+    """A column name that no other has, whatever its case."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def with_score(docs: DataFrame, score: Callable[[list[bytes | None]], np.ndarray], keep: list[str], out: str = "score") -> DataFrame:
     """The columns ``keep`` of each row and ``out``: what ``score`` gives for its whole text, as UTF-8 bytes."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(_fresh("text_", keep)))
     kind = T.StructType([*[T.StructField(f.name, f.dataType) for f in rows.schema[:-1]], T.StructField(out, T.DoubleType())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +156,7 @@ def with_score(docs: DataFrame, score: Callable[[list[bytes | None]], np.ndarray
 
 def accepted(docs: DataFrame, accept: Callable[[list[bytes | None]], np.ndarray]) -> DataFrame:
     """The rows, with all their columns, whose text ``accept`` says yes to."""
-    rows = docs.withColumn("__text", F.col("text").cast("string"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").cast("string").alias(_fresh("text_", docs.columns)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -326,6 +326,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     are one document. Other columns are ignored. An empty table gives no rows.
     """
     common.ship(docs.sparkSession)
+    with common.scratch(docs.sparkSession):
+        return common.stored(_judged(docs, width, percent), "near", keep=True)
+
+
+def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
     all_ = sketches(docs, width)
     live = all_.filter("digest is not null and doc_id is not null")
     copies = common.stored(live.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c"), "copies")
@@ -335,7 +340,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     bands = common.stored(_bands(reps), "bands")
     shared = bands.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("m")).filter("least <> most")
     open_ = common.stored(bands.join(common.stored(shared.select("key", "m"), "shared"), "key"), "buckets")
-    sets = _sets(docs, open_.select("id").distinct(), width)
+    sets = _sets(docs, common.few(common.stored(open_.select("id").distinct(), "members")), width)
 
     # first a few bands with the least id of a bucket as its leader: that merges most of every group
     named = open_.filter(F.col("band") < FIRST_BANDS).withColumn("comp", F.col("id"))
@@ -364,10 +369,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def distinct(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row of each near-duplicate group, with all its columns: the least doc_id's. Rows without an id all stay."""
-    judged = common.stored(near_duplicates(docs, width, percent).filter("kept and doc_id is not null").select("doc_id"), "kept")
+    judged = near_duplicates(docs, width, percent).filter("doc_id is not null")
     repeated = judged.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    # a new name: both tables come from docs
-    kept = docs.join(judged.select(F.col("doc_id").alias("__kept")).distinct(), F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    gone = common.few(common.stored(judged.filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone"))
+    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")  # rows without an id stay
     if repeated:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    return kept
