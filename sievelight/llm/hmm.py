@@ -253,10 +253,12 @@ def train(texts: DataFrame, lex: Lexicon) -> Model:
     """Baum-Welch over all ``texts`` (doc_id, text)."""
     spark, s = texts.sparkSession, lex.settings
     share = lex.mass / lex.mass.sum()
-    few = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.start_docs).select(F.col("text").cast("string").alias("text"))
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    ids = texts.select("doc_id").orderBy(*order).limit(s.start_docs)  # start_docs rows
+    few = texts.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids.distinct()), "doc_id")
     lex.prepare()
     seqs, left = [], s.start_words
-    for r in few.toLocalIterator():
+    for r in few.orderBy(*order, "text").toLocalIterator():
         w = words_of((r["text"] or "").encode())
         if len(w) <= left:
             seqs.append(lex.classes(w)[1])
