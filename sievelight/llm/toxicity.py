@@ -39,7 +39,7 @@ class Settings:
     #: Neutral n-grams that every mean includes, so a few words of a short text cannot decide alone.
     neutral: int = 500
     #: Weight of class 1 in training, against 1 - this of class 0.
-    prior: float = 0.4
+    prior: float = 0.5
     #: Of the summed squared gradients, by which a vector's step is divided: 0.5 favours rare n-grams, 0 common ones.
     power: float = 0.25
     seed: int = 7
@@ -64,8 +64,9 @@ def grams(texts: list[bytes | None], s: Settings) -> Iterator[tuple[np.ndarray,
 
 
 def joined(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in one buffer, each between blanks, and where each starts. No n-gram reaches from one into another."""
-    parts = [b" " + (t or b"").translate(_FOLD) + b" " for t in texts]
+    """The distinct words of each text in one buffer, each text between blanks, and where each starts. No n-gram reaches
+    from one text into another."""
+    parts = [b" " + b" ".join(dict.fromkeys((t or b"").translate(_FOLD).split())) + b" " for t in texts]
     return np.frombuffer(b"".join(parts), "u1"), np.cumsum([0, *map(len, parts)])[:-1]
 
 
