@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,3 +63,12 @@ def fixed_point(val: Column) -> Column:
 def to_int8(val: Column) -> Column:
     """Towards zero; outside of -128 to 127 the nearest of the two."""
     return F.greatest(F.lit(-128.0), F.least(F.lit(127.0), truncated(val))).cast("tinyint")
+
+
+def to_half(val: Column) -> Column:
+    """Rounded to half precision, as a float; Spark has no such type, so this goes through Arrow batches."""
+    @F.pandas_udf("float")
+    def half(x: pd.Series) -> pd.Series:
+        return x.astype("float16").astype("float32")
+
+    return half(val.cast("double"))

@@ -25,6 +25,11 @@ def to_dense(triples: DataFrame, cols: int) -> DataFrame:
     return triples.groupBy("row_id").agg(cells.alias("m")).select("row_id", F.transform(F.sequence(F.lit(0), F.lit(cols - 1)), lambda c: F.coalesce(F.col("m")[c], F.lit(0.0))).alias("embedding"))
 
 
+def ordered(triples: DataFrame) -> DataFrame:
+    """Triples by row and column: ranges of rows, sorted inside, which is what a sorted table needs."""
+    return triples.repartitionByRange("row_id", "col_id").sortWithinPartitions("row_id", "col_id")
+
+
 def deduplicated(triples: DataFrame, how: str = "sum", order: str | None = None) -> DataFrame:
     """One triple a cell: the ``sum``, the ``last`` by ``order``, or an ``error`` on the first action if cells repeat."""
     cell = triples.groupBy("row_id", "col_id")
@@ -133,9 +138,10 @@ def with_diagonal(triples: DataFrame, rows: int) -> DataFrame:
     return triples.select("row_id", "col_id", "val").unionByName(missing.select("row_id", F.col("row_id").cast("int").alias("col_id"), F.lit(0.0).alias("val")))
 
 
-def histogram(triples: DataFrame, width: float, origin: float = 0.0) -> DataFrame:
-    """Entries by value bin; bin 0 starts at ``origin``."""
-    return triples.groupBy(F.floor((F.col("val") - origin) / width).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+def histogram(triples: DataFrame, width: float, origin: float = 0.0, part: Column | None = None) -> DataFrame:
+    """Entries by value bin, and by part if one is given; bin 0 starts at ``origin``."""
+    keys = [F.floor((F.col("val") - origin) / width).cast("int").alias("bin")]
+    return triples.groupBy(*([part.alias("part")] if part is not None else []), *keys).agg(F.count("*").alias("n"))
 
 
 #: Entries in a packet of either format.
@@ -176,11 +182,21 @@ def decode_row_bits(packets: DataFrame) -> DataFrame:
     return rows.select("part", (F.col("before") + upto).cast("bigint").alias("row_no"), F.col("e.cols").alias("col_id"), F.col("e.vals").alias("q"))
 
 
-def row_end_packets(triples: DataFrame, part: Column, lanes: int = ROW_END_LANES) -> DataFrame:
-    """Packets of ``lanes`` entries with the running number of entries at each row's end and a flag whether the packet's
-    first entry starts a row."""
-    rows = placed(triples, part, lanes)
-    ends = rows.groupBy("part", "pkt", "row_id").agg(F.count("*").alias("n"), F.min(F.when(F.col("lane") == 0, F.col("first"))).alias("starts"))
-    w = W.partitionBy("part", "pkt").orderBy("row_id")
+def row_end_packets(q: DataFrame, part: Column, lanes: int = ROW_END_LANES) -> DataFrame:
+    """Packets of ``lanes`` entries (row_id, col_id, q) with the running number of entries at each row's end and a flag
+    whether the packet's first entry starts a row. The last packet of a part may be short."""
+    rows = placed(q, part, lanes)
+    ends = rows.groupBy("part", "pkt", "row_id").agg(F.count("*").alias("n"), F.min(F.when(F.col("lane") == 0, F.col("first"))).alias("starts"), F.collect_list(F.struct("lane", "col_id", "q")).alias("e"))
+    w = W.partitionBy("part", "pkt").orderBy("row_id")  # at most ``lanes`` rows
     ends = ends.withColumn("row_end", F.sum("n").over(w))
-    return ends.groupBy("part", "pkt").agg(F.max("starts").cast("int").alias("new_row"), F.array_sort(F.collect_list("row_end")).alias("row_ends"), F.sum("n").alias("used"))
+    got = ends.groupBy("part", "pkt").agg(F.max("starts").cast("int").alias("new_row"), F.array_sort(F.collect_list("row_end")).alias("row_ends"), F.sum("n").alias("used"), F.array_sort(F.flatten(F.collect_list("e"))).alias("e"))
+    return got.select("part", "pkt", "new_row", "row_ends", "used", F.col("e.col_id").alias("cols"), F.col("e.q").alias("vals"))
+
+
+def decode_row_ends(packets: DataFrame) -> DataFrame:
+    """Entries of the packets: part, the row's number in the order of the part's rows, col_id, q."""
+    rows = running(packets.withColumn("starts_", F.size("row_ends") - 1 + F.col("new_row")), "starts_", "part", "pkt", ("pkt",), "upto_")
+    rows = rows.withColumn("before", F.col("upto_") - F.col("starts_") - 1 + F.col("new_row"))
+    rows = rows.select("part", "before", "row_ends", F.posexplode(F.arrays_zip("cols", "vals")).alias("lane", "e"))
+    passed = F.size(F.filter("row_ends", lambda x: x <= F.col("lane")))
+    return rows.select("part", (F.col("before") + passed).cast("bigint").alias("row_no"), F.col("e.cols").alias("col_id"), F.col("e.vals").alias("q"))

@@ -38,3 +38,14 @@ def lane_candidates(triples: DataFrame, scores: DataFrame, part: Column, lanes:
     offered = offered.select("part", "row_id", (1 - F.col("carried")).alias("lane"))
     w = W.partitionBy("qid", "part", "lane").orderBy(F.desc("score"), F.desc("row_id"))
     return scores.join(offered, "row_id").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= keep).select("qid", "part", "lane", "row_id", "score")
+
+
+def merged_precision(values: DataFrame, rows: int, parts: int, kept: int, depths: tuple[int, ...]) -> DataFrame:
+    """(trial, k, precision): share of each trial's best k of (trial, row_id, value) that is among the ``kept`` best of
+    its balanced part."""
+    scores = values.select(F.col("trial").alias("qid"), "row_id", F.col("value").alias("score"))
+    best = topk(scores, max(depths)).select("qid", "row_id", "rank")
+    found = candidates(scores, layout.split_of(F.col("row_id"), rows, parts, "balanced"), parts, kept * parts).select("qid", "row_id", F.lit(1).alias("hit"))
+    ks = F.broadcast(values.sparkSession.createDataFrame([(k,) for k in depths], "k int"))  # len(depths) rows
+    hits = best.join(found, ["qid", "row_id"], "left").join(ks, F.col("rank") <= F.col("k"))
+    return hits.groupBy(F.col("qid").alias("trial"), "k").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.col("k")).alias("precision"))

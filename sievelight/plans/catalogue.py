@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.functions import MatrixMeta, expected_precision, fixed_point, levels, precision_lower_bound, to_int8
+from sievelight.functions import MatrixMeta, expected_precision, fixed_point, levels, precision_lower_bound, to_half, to_int8
 from sievelight.operators import evaluate, graph, layout, reduce, score, search, topk, tune
 from sievelight.plans import inputs
 from sievelight.plans.inputs import sql
@@ -111,6 +111,17 @@ def value_hist(spark, sf):
     return layout.histogram(inputs.sparse(spark, sf), 5.0)
 
 
+@query(sql("coo", ", r AS (SELECT count(*) AS n FROM embeddings) SELECT CAST(least(row_id // (n // 32), 31) AS INTEGER) AS part, CAST(floor(val / 0.05::DOUBLE) AS INTEGER) AS bin, count(*) AS n FROM coo, r GROUP BY 1, 2"))
+def value_hist_per_part(spark, sf):
+    n = inputs.dense(spark, sf).count()
+    return layout.histogram(inputs.triples(spark, sf), 0.05, part=layout.split_of(F.col("row_id"), n, 32))
+
+
+@query(sql("sp", "SELECT row_id, col_id, val FROM sp"))
+def coo_sorted(spark, sf):
+    return layout.ordered(inputs.sparse(spark, sf))
+
+
 def _bounds(part: str) -> str:
     return sql("coo", f", r AS (SELECT count(*) AS n FROM embeddings) SELECT CAST({part} AS INTEGER) AS part, min(row_id) AS first_row, max(row_id) AS last_row, count(*) AS nnz, CAST(ceil(count(*) / 30.0) AS BIGINT) AS packets FROM coo, r GROUP BY 1")
 
@@ -259,7 +270,12 @@ def ultra_packet_decode(spark, sf):
 @query(sql("coo", _PLACED.format(lanes=11) + ", e AS (SELECT part, pkt, row_id, count(*) AS n, max(CASE WHEN lane = 0 THEN CASE WHEN prev IS NULL THEN 1 ELSE new END END) AS starts FROM l GROUP BY ALL), s AS (SELECT *, sum(n) OVER (PARTITION BY part, pkt ORDER BY row_id) AS row_end FROM e) SELECT part, pkt, CAST(max(starts) AS INTEGER) AS new_row, string_agg(CAST(row_end AS BIGINT), ',' ORDER BY row_end) AS row_ends, CAST(sum(n) AS BIGINT) AS used FROM s GROUP BY part, pkt"))
 def bs_packets(spark, sf):
     rows = layout.row_end_packets(*_packed(spark, sf))
-    return rows.withColumn("row_ends", F.array_join("row_ends", ","))
+    return rows.select("part", "pkt", "new_row", F.array_join("row_ends", ",").alias("row_ends"), "used")
+
+
+@query(sql("coo", _PLACED.format(lanes=11) + " SELECT part, CAST(dense_rank() OVER (PARTITION BY part ORDER BY row_id) - 1 AS BIGINT) AS row_no, col_id, q FROM l"))
+def bs_packet_decode(spark, sf):
+    return layout.decode_row_ends(layout.row_end_packets(*_packed(spark, sf)))
 
 
 # -- scores --------------------------------------------------------------------------------------------------------
@@ -601,6 +617,21 @@ def closed_form_precision(spark, sf):
     return spark.createDataFrame(rows, "parts int, k int, lower_bound double, expected double")
 
 
+@query()
+def merged_precision_trials(spark, sf):
+    values, out = generators.trials(spark, 10, 20_000, seed=4), None
+    for parts in (8, 16, 32):
+        own = topk.merged_precision(values, 20_000, parts, 8, (8, 16, 32, 50, 75, 100)).groupBy("k").agg(F.avg("precision").alias("precision"))
+        own = own.select(F.lit(parts).alias("parts"), "k", "precision")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query()
+def half_precision(spark, sf):
+    return inputs.triples(spark, sf).select("row_id", "col_id", to_half(F.col("val")).alias("half"))
+
+
 @query()
 def generate_uniform(spark, sf):
     return generators.sparse(spark, 2000, 256, 20, "uniform", seed=1)

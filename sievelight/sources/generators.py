@@ -71,3 +71,9 @@ def graph(spark: SparkSession, nodes: int, average: int, seed: int = 0) -> DataF
     """Random edges (src, dst) without loops, each once."""
     drawn = spark.range(nodes).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(average))).alias("draw"))
     return drawn.select("src", F.floor(_uniform(seed, 31, "src", "draw") * nodes).cast("bigint").alias("dst")).filter("src <> dst").distinct()
+
+
+def trials(spark: SparkSession, number: int, rows: int, seed: int = 0) -> DataFrame:
+    """(trial, row_id, value): U(0, 1) for every row of every trial."""
+    cells = spark.range(number).select(F.col("id").alias("trial"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rows - 1).cast("bigint"))).alias("row_id"))
+    return cells.select("trial", "row_id", _uniform(seed, 41, "trial", "row_id").alias("value"))

@@ -101,6 +101,15 @@ def read(spark: SparkSession, path: str, direction: str = "banner", values: bool
     return rows, MatrixMeta(head.rows, head.cols, head.nnz)
 
 
+def read_graph(spark: SparkSession, path: str, directed: bool = True) -> DataFrame:
+    """A pattern file as weighted edges (src, dst, weight): without loops, each edge once, weight 1 over the edges that
+    leave src."""
+    from sievelight.operators import graph
+
+    cells, _ = read(spark, path, "as_is" if directed else "both", values=False, drop_loops=True)
+    return graph.out_degree_weights(cells.select(F.col("row_id").alias("src"), F.col("col_id").cast("bigint").alias("dst")))
+
+
 def write(triples: DataFrame, path: str, shape: MatrixMeta, field: str = "real", column: str = "val") -> None:
     """One 1-based text file below ``path``, zeros left out; for exchange. Keep large matrices as Parquet."""
     entries = triples.filter(F.col(column) != 0)

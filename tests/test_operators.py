@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievelight.functions import expected_precision, precision_lower_bound
+from sievelight.functions import expected_precision, precision_lower_bound, to_half
 from sievelight.operators import evaluate, graph, layout, reduce, score, search, topk, tune
 from sievelight.sources import generators
 
@@ -62,6 +62,24 @@ def test_packets_by_hand_and_round_trip(spark, a):
     assert [(r["row_no"], r["col_id"], r["q"]) for r in back] == [(r["row_id"], r["col_id"], r["q"]) for r in q.orderBy("row_id", "col_id").collect()]
 
 
+@pytest.mark.parametrize("lanes", [2, 3, 11])
+def test_row_end_packets_round_trip(a, lanes):
+    q = reduce.quantize(a)
+    back = layout.decode_row_ends(layout.row_end_packets(q, F.lit(0), lanes)).orderBy("row_no", "col_id").collect()
+    assert [(r["row_no"], r["col_id"], r["q"]) for r in back] == [(r["row_id"], r["col_id"], r["q"]) for r in q.orderBy("row_id", "col_id").collect()]
+
+
+def test_half_precision(spark):
+    x = [0.1, -1.0, 1e-9, 65504.0, 3.14159]
+    got = spark.createDataFrame([(v,) for v in x], "v double").select(to_half(F.col("v")).alias("h")).collect()
+    assert [r["h"] for r in got] == [float(np.float16(v)) for v in x]
+
+
+def test_trials_are_near_the_expected_precision(spark):
+    got = topk.merged_precision(generators.trials(spark, 40, 2000, seed=1), 2000, 8, 8, (40,)).agg(F.avg("precision")).first()[0]
+    assert got == pytest.approx(expected_precision(2000, 8, 40, 8), abs=0.02)
+
+
 def test_stats_and_shapes(spark, a):
     m = layout.meta(a, 4, 4)
     assert (m.rows, m.cols, m.nnz, m.density) == (4, 4, 7, 0.4375)

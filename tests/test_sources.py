@@ -38,6 +38,12 @@ def test_pattern_loops_and_repeats(spark, tmp_path):
     assert entries(matrix_market.read(spark, path, drop_loops=True, dedupe=None)[0]) == [(0, 1, 1.0), (0, 1, 1.0), (2, 0, 1.0)]
 
 
+def test_graph(spark, tmp_path):
+    path = put(tmp_path, "%%MatrixMarket matrix coordinate pattern general\n3 3 5\n1 1\n1 2\n1 2\n1 3\n3 1\n")
+    assert entries(matrix_market.read_graph(spark, path)) == [(0, 1, 0.5), (0, 2, 0.5), (2, 0, 1.0)]
+    assert entries(matrix_market.read_graph(spark, path, directed=False)) == [(0, 1, 0.5), (0, 2, 0.5), (1, 0, 1.0), (2, 0, 1.0)]
+
+
 def test_ids_out_of_range(spark, tmp_path):
     path = put(tmp_path, "%%MatrixMarket matrix coordinate real general\n2 2 1\n1 3 1\n")
     with pytest.raises(Exception, match="outside"):
