@@ -249,6 +249,23 @@ def lexicon(words: DataFrame, ends: int, s: Settings, head: int = HEAD) -> Lexic
     return Lexicon(s, keys, counts, mass, sums["n"] + ends, sums["v"] + (ends > 0), ends)
 
 
+def _gathered(rows: Iterator[pa.RecordBatch], text: int, *others: int, size: int = 16 << 20) -> Iterator[tuple[list, ...]]:
+    """Columns of consecutive rows as lists, texts first, about ``size`` bytes of text together: the more texts there
+    are, the better their lengths pair up."""
+    held: tuple[list, ...] = ([], *([] for _ in others))
+    n = 0
+    for b in rows:
+        texts = b.column(text).cast(pa.binary()).to_pylist()
+        for out, values in zip(held, (texts, *(b.column(c).to_pylist() for c in others)), strict=True):
+            out.extend(values)
+        n += sum(len(t or b"") for t in texts)
+        if n >= size:
+            yield held
+            held, n = ([], *([] for _ in others)), 0
+    if held[0]:
+        yield held
+
+
 def train(texts: DataFrame, lex: Lexicon) -> Model:
     """Baum-Welch over all ``texts`` (doc_id, text)."""
     spark, s = texts.sparkSession, lex.settings
@@ -275,11 +292,10 @@ def train(texts: DataFrame, lex: Lexicon) -> Model:
         def task(rows: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             own, m = held.value.prepare(), now.value
             sums = np.zeros(s.states), np.zeros((s.states, s.states)), np.zeros((s.classes, s.states))
-            for b in rows:
-                for i in range(0, b.num_rows, 2000):
-                    seqs = [own.classes(words_of(t))[1] for t in b.column(0).slice(i, 2000).cast(pa.binary()).to_pylist()]
-                    for pick in batches([len(x) for x in seqs]):
-                        expected(m, [seqs[k] for k in pick], *sums)
+            for texts in _gathered(rows, 0):
+                seqs = [own.classes(words_of(t))[1] for t in texts[0]]
+                for pick in batches([len(x) for x in seqs]):
+                    expected(m, [seqs[k] for k in pick], *sums)
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([x.ravel() for x in sums]).tobytes()], pa.binary())], schema=arrow)
 
         def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,30 +334,30 @@ def score(docs: DataFrame, words: DataFrame, lex: Lexicon, model: Model) -> Data
         # of a word in its class: nothing for own words and the end, count over mass for the others
         inside = np.append(log_mass[: s.own], [0.0] * (s.classes - s.own))
         row = TaskContext.get().partitionId() << 40
-        for b in rows:
-            for i in range(0, b.num_rows, 2000):
-                part = b.slice(i, 2000)
-                n = part.num_rows
-                base, extra, known, rare, seqs = np.zeros(n), np.zeros(n), np.zeros(n, "i8"), [], []
-                for k, t in enumerate(part.column(1).cast(pa.binary()).to_pylist()):
-                    w = words_of(t)
-                    at, kind = own.classes(w)
-                    there = at[at >= 0]
-                    count = log_count[there].sum()
-                    base[k] = count + np.log10(own.ends + ADDED) - len(kind) * below
-                    extra[k] = count - inside[kind].sum() - log_mass[kind[:-1]][kind[:-1] >= s.own].sum()
-                    known[k] = len(there) + (own.ends > 0)
-                    rare.append([w[j] for j in np.flatnonzero(at < 0).tolist()])
-                    seqs.append(kind)
-                like = np.zeros(n)
-                for pick in batches([len(x) for x in seqs]):
-                    like[pick] = forward(m, [seqs[j] for j in pick])
-                lengths = np.array([len(x) for x in seqs], "i8")
+        for texts, ids in _gathered(rows, 1, 0):
+            n = len(texts)
+            base, extra, known, rare, seqs = np.zeros(n), np.zeros(n), np.zeros(n, "i8"), [], []
+            for k, t in enumerate(texts):
+                w = words_of(t)
+                at, kind = own.classes(w)
+                there = at[at >= 0]
+                count = log_count[there].sum()
+                base[k] = count + np.log10(own.ends + ADDED) - len(kind) * below
+                extra[k] = count - inside[kind].sum() - log_mass[kind[:-1]][kind[:-1] >= s.own].sum()
+                known[k] = len(there) + (own.ends > 0)
+                rare.append([w[j] for j in np.flatnonzero(at < 0).tolist()])
+                seqs.append(kind)
+            like = np.zeros(n)
+            for pick in batches([len(x) for x in seqs]):
+                like[pick] = forward(m, [seqs[j] for j in pick])
+            lengths = np.array([len(x) for x in seqs], "i8")
+            for i in range(0, n, 1000):
+                cut = slice(i, i + 1000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + np.arange(n)), part.column(0), pa.array(lengths), pa.array(known), pa.array(base), pa.array(like + extra), pa.array(rare, pa.list_(pa.binary()))],
+                    [pa.array(np.arange(row, row + n)[cut]), pa.array(ids[cut], pa.int64()), pa.array(lengths[cut]), pa.array(known[cut]), pa.array(base[cut]), pa.array((like + extra)[cut]), pa.array(rare[cut], pa.list_(pa.binary()))],
                     schema=_ROWS_ARROW,
                 )
-                row += n
+            row += n
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = common.stored(rows.mapInArrow(task, _ROWS), "scored")
