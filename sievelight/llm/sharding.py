@@ -81,8 +81,9 @@ def _tree(rows: DataFrame, n_dims: int, shards: int) -> Node:
     return root
 
 
-def shard(docs: DataFrame, shards: int = 8, dimensions: tuple[str, ...] = ("doc_id", "size", "lang", "source")) -> DataFrame:
-    """Deal all ``docs`` (doc_id, text and the dimensions) into ``shards`` leaves of near equal bytes.
+def shard(docs: DataFrame, shards: int = 8, dimensions: tuple[str, ...] = ("doc_id", "size", "lang", "source"), target_bytes: int | None = None) -> DataFrame:
+    """Deal all ``docs`` (doc_id, text and the dimensions) into ``shards`` leaves of near equal bytes, or into as many as
+    bring each down to ``target_bytes`` if that is given.
 
     A number is a coordinate by its place between the least and the largest value (``size`` by its logarithm), any
     other value by its hash. Each box is split along the dimension in which it is widest, where the left half has its
@@ -104,7 +105,9 @@ def shard(docs: DataFrame, shards: int = 8, dimensions: tuple[str, ...] = ("doc_
             number = kinds[c] in ("tinyint", "smallint", "int", "bigint", "float", "double") or kinds[c].startswith("decimal")
             value[c] = F.col(f"dim_{c}").cast("double") if number else F.when(F.col(f"dim_{c}").isNotNull(), F.pmod(F.xxhash64(f"dim_{c}"), F.lit(1 << COORD_BITS)).cast("double"))
     valued = common.stored(meta.select("doc_id", "size", "text_crc32", *[v.alias(f"v{i}") for i, v in enumerate(value.values())]), "shard-meta")
-    ends = valued.agg(F.count("*").alias("n"), *[f(f"v{i}").alias(f"{name}{i}") for i in range(len(value)) for name, f in (("lo", F.min), ("hi", F.max))]).first()
+    ends = valued.agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), *[f(f"v{i}").alias(f"{name}{i}") for i in range(len(value)) for name, f in (("lo", F.min), ("hi", F.max))]).first()
+    if target_bytes:
+        shards = max(1, -(-(ends["bytes"] or 0) // target_bytes))
     tie = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(1 << TIE_BITS))
     keys = []
     for i in range(len(value)):

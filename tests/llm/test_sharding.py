@@ -21,6 +21,13 @@ def test_near_equal_bytes(make, shards):
     assert set(got.law) == {"bytes"} and got.grown_shard.isna().all()
 
 
+def test_leaves_of_a_target_size(make):
+    rows = [(i, prose(i, 20)) for i in range(200)]
+    total = sum(len(t) + 1 for _, t in rows)
+    got = sharding.shard(make(rows), target_bytes=total // 5 + 1).toPandas().groupby("shard")["size"].sum()
+    assert len(got) == 5 and got.max() <= total // 5 + 400
+
+
 def test_equal_rows_and_odd_rows(make):
     same = sharding.shard(make([(1, "a")] * 64), 4).toPandas()
     assert len(same) == 64 and same["shard"].nunique() == 1  # rows that nothing tells apart stay together
