@@ -340,7 +340,9 @@ def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
     bands = common.stored(_bands(reps), "bands")
     shared = bands.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("m")).filter("least <> most")
     open_ = common.stored(bands.join(common.stored(shared.select("key", "m"), "shared"), "key"), "buckets")
-    sets = _sets(docs, common.few(common.stored(open_.select("id").distinct(), "members")), width)
+    members = common.few(common.stored(open_.select("id").distinct(), "members"))
+    sets = _sets(docs, members, width)
+    reps = common.stored(reps.join(members.withColumnRenamed("id", "rep"), "rep", "left_semi"), "registers")
 
     # first a few bands with the least id of a bucket as its leader: that merges most of every group
     named = open_.filter(F.col("band") < FIRST_BANDS).withColumn("comp", F.col("id"))
