@@ -43,7 +43,7 @@ class Encoder:
     empty.
     """
 
-    def __init__(self, path: str, limit: int = 600_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 400_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         from tokenizers import Tokenizer
 
