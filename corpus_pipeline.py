@@ -31,7 +31,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1024 tokens."""
-    return packing.pack(docs, end_id=0, capacity=1024)
+    return packing.pack(docs, end_id=0, capacity=1024, cached=100_000)  # workers hold what earlier stages left
 
 
 STAGES = [

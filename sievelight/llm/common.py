@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import io
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
 import numpy as np
@@ -133,6 +135,20 @@ def numbered(df: DataFrame, group: str, key: list[str], out: str, buckets: int)
     )
 
 
+def begin() -> None:
+    """At the start of a task that encodes nothing: drop the encoder that an earlier task left in this worker."""
+    if (held := sys.modules.get("sievelight.llm.tokenization")) is not None and held.encoder.cache_info().currsize:
+        held.encoder.cache_clear()
+        trim()
+
+
+def trim() -> None:
+    """Give memory that a task no longer needs back to the system: workers live on, and so would their peaks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _fresh(name: str, taken: list[str]) -> str:
     """A column name that no other has, whatever its case."""
     while name.lower() in {c.lower() for c in taken}:
@@ -146,10 +162,12 @@ def with_score(docs: DataFrame, score: Callable[[list[bytes | None]], np.ndarray
     kind = T.StructType([*[T.StructField(f.name, f.dataType) for f in rows.schema[:-1]], T.StructField(out, T.DoubleType())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for b in batches:
             if b.num_rows:
                 p = score(b.column(len(keep)).cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64())], names=[*keep, out])
+        trim()
 
     return rows.mapInArrow(task, kind)
 
@@ -159,10 +177,12 @@ def accepted(docs: DataFrame, accept: Callable[[list[bytes | None]], np.ndarray]
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").cast("string").alias(_fresh("text_", docs.columns)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for b in batches:
             if b.num_rows:
                 yes = accept(b.column(b.num_columns - 1).cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(pa.array(yes, pa.bool_()))
+        trim()
 
     return rows.mapInArrow(task, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
 

@@ -124,6 +124,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, set size, a 128-bit digest of the set and its registers (null for an empty set), stored."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin()
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 own = b.slice(i, 1000)
@@ -134,6 +135,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                     digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     regs.append(sketch(s).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], schema=_SKETCH_ARROW)
+        common.trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return common.stored(rows.mapInArrow(task, _SKETCH), "sketches")
@@ -151,6 +153,7 @@ def _bands(reps: DataFrame) -> DataFrame:
                 ids = np.repeat(own.column(0).to_numpy(zero_copy_only=False), BANDS)
                 band = pa.array(np.tile(np.arange(BANDS, dtype="i4"), own.num_rows))
                 yield pa.RecordBatch.from_arrays([pa.array(band_keys(regs).ravel()), band, pa.array(ids, pa.int64())], schema=arrow)
+        common.trim()
 
     return reps.select("rep", "registers").mapInArrow(task, common.schema(key="long", band="int", id="long"))
 
@@ -169,6 +172,7 @@ def _likely_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 na, nb = (own.column(k).to_numpy(zero_copy_only=False) for k in ("na", "nb"))
                 keep = pa.array(_likely(ra, rb, na, nb, percent))
                 yield pa.RecordBatch.from_arrays([own.column("a").filter(keep), own.column("b").filter(keep)], schema=arrow)
+        common.trim()
 
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(task, common.schema(a="long", b="long"))
 
@@ -185,6 +189,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype("i4")
                 items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([own.column(0), items], schema=arrow)
+        common.trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return common.stored(rows.join(ids, "id", "left_semi").mapInArrow(task, common.schema(id="long", items="array<long>")), "sets")

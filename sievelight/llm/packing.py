@@ -54,7 +54,7 @@ _PIECES_ARROW = pa.schema([(f.name, pa.int32() if f.dataType.simpleString() == "
 _OUT = [*_PIECES.names[:5], "sequence_id", "offset", "klass"]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, grain: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, grain: int, cached: int = tokenization.CACHED) -> DataFrame:
     """One row per piece of each document (doc_id, text), numbered by task (part) and class; stored, as a lost task's
     numbers must not change. Null text counts as empty; other columns are ignored; repeated rows stay apart."""
 
@@ -66,7 +66,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, grain: i
             for i in range(0, b.num_rows, 256):
                 own = b.slice(i, 256)
                 rows: list[tuple] = []
-                for d, ids in zip(own.column(0).to_pylist(), tokenization.encoder(tokenizer).encode(own.column(1).to_pylist()), strict=True):
+                for d, ids in zip(own.column(0).to_pylist(), tokenization.encoder(tokenizer, cached).encode(own.column(1).to_pylist()), strict=True):
                     view, at = memoryview(ids + end), 0
                     n = len(view) // 4
                     for size in cut(n, capacity, grain):
@@ -75,14 +75,16 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, grain: i
                         seen[k] += 1
                         at += size
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _PIECES_ARROW, strict=True)], schema=_PIECES_ARROW)
+        common.trim()
 
     common.ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return common.stored(rows.mapInArrow(task, _PIECES), "pieces")
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = 1024, grain: int = 64) -> DataFrame:
-    """Place the tokens of all ``docs`` into sequences of at most ``capacity`` tokens (a power of two).
+def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = 1024, grain: int = 64, cached: int = tokenization.CACHED) -> DataFrame:
+    """Place the tokens of all ``docs`` into sequences of at most ``capacity`` tokens (a power of two). ``cached``: pieces
+    of text that a worker remembers; fewer take less memory and more time.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id (gapless from 0), offset, klass. An empty table
     gives no rows; an empty or null text has its end token alone.
@@ -92,7 +94,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacit
     if capacity & (capacity - 1) or grain & (grain - 1) or not 1 <= grain <= capacity:
         raise ValueError("capacity and grain must be powers of two, grain no larger than capacity")
     spark = docs.sparkSession
-    rows = pieces(docs, tokenizer or tokenization.default_path(), end_id, capacity, grain)
+    rows = pieces(docs, tokenizer or tokenization.default_path(), end_id, capacity, grain, cached)
     counts = rows.groupBy("klass", "part").count()
     totals = {r["klass"]: (r["n"], r["parts"]) for r in counts.groupBy("klass").agg(F.sum("count").alias("n"), F.count("*").alias("parts")).collect()}  # one row a class
     base, bins = 0, []

@@ -110,7 +110,11 @@ class Encoder:
         return [a + b"".join(map(get, x[1:])) for a, x in zip(first, cut, strict=True)]
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process, kept between its tasks."""
-    return Encoder(path)
+#: Pieces of one generation of a worker's cache; both generations take about 0.5 KB a piece together.
+CACHED = 400_000
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, cached: int = CACHED) -> Encoder:
+    """One encoder per worker process, kept between its tasks until another operator's task drops it."""
+    return Encoder(path, cached)
