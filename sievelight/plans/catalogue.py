@@ -662,6 +662,14 @@ def mtx_roundtrip(spark, sf):
     return matrix_market.read(spark, path)[0]
 
 
+@query(sql("sp", "SELECT row_id, col_id, val FROM sp"))
+def mtx_roundtrip_whole(spark, sf):
+    """The whole matrix; ``mtx_roundtrip`` and its SQL keep the rows below 500."""
+    a, path = inputs.sparse(spark, sf), scratch.folder(spark, "mtx")
+    matrix_market.write(a, path, MatrixMeta(layout.meta(a).rows, inputs.SPARSE_COLS, 0))
+    return matrix_market.read(spark, path)[0]
+
+
 @query("SELECT vec_id AS row_id, 'w' || vec_id AS token, CAST(embedding[1] AS DOUBLE) AS first_, len(embedding) AS size_ FROM embeddings")
 def word_vector_roundtrip(spark, sf):
     path = scratch.folder(spark, "vectors")
