@@ -175,6 +175,13 @@ def diagonal_fill(spark, sf):
     return layout.with_diagonal(inputs.sparse(spark, sf).filter("row_id < 400 and row_id % 3 <> 0"), 400)
 
 
+@query(sql("sp", "SELECT row_id, col_id, val FROM sp UNION ALL SELECT i, CAST(i AS INTEGER), 0.0::DOUBLE FROM range((SELECT max(row_id) + 1 FROM sp)) t(i) WHERE i NOT IN (SELECT row_id FROM sp)"))
+def diagonal_fill_whole(spark, sf):
+    """The whole matrix; ``diagonal_fill`` and its SQL keep some rows below 400."""
+    a = inputs.sparse(spark, sf)
+    return layout.with_diagonal(a, layout.meta(a).rows)
+
+
 # -- pruning and quantising ----------------------------------------------------------------------------------------
 
 _PRUNED = ", m AS (SELECT {mean} AS mean FROM sp), w AS (SELECT row_id, col_id, val, count(*) OVER (PARTITION BY row_id) AS n, min(abs(val)) OVER (PARTITION BY row_id) AS least, row_number() OVER (PARTITION BY row_id ORDER BY abs(val) DESC, col_id) AS place FROM sp) SELECT row_id, col_id, val FROM w, m WHERE place <= ceil(n * 0.5::DOUBLE) OR least > mean"
