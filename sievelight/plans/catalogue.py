@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,19 @@ def query(text: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def search_query(text: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """Register a search under its function's name, with its first vectors as queries, and as ``<name>_hundredths`` with
+    every vector whose id is divisible by 100."""
+
+    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        query(text)(f)
+        name = f"{f.__name__}_hundredths"
+        _QUERIES[name], _SQL[name] = (lambda spark, sf: f(spark, sf, None)), inputs.hundredths(text)
+        return f
+
+    return add
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
@@ -297,9 +311,9 @@ _Q6 = "m AS (SELECT max(abs(val)) AS mx FROM coo), q AS (SELECT row_id, col_id,
 _INT = f", {_Q6}, {_XQ}, s AS (SELECT xq.qid, q.row_id, CAST(sum(q.q * xq.q) AS BIGINT) AS score FROM q JOIN xq USING (col_id) GROUP BY ALL)"
 
 
-def _int_scores(spark, sf, number: int = 5) -> DataFrame:
+def _int_scores(spark, sf, number: int | None = 5) -> DataFrame:
     q, x = reduce.quantize(inputs.triples(spark, sf)), reduce.quantize_queries(inputs.queries(spark, sf, number))
-    return score.multiply(q, x.withColumnRenamed("q", "x"), "q", "x", cells=64 * number, integer=True)
+    return score.multiply(q, x.withColumnRenamed("q", "x"), "q", "x", cells=inputs.cells(spark, sf, number), integer=True)
 
 
 @query(sql("coo x5", _INT + " SELECT qid, row_id, score FROM s"))
@@ -378,71 +392,76 @@ def dense_dot_product(spark, sf):
 _FLOAT = ", s AS (SELECT x{n}.qid, c.row_id, sum(val * x) AS score FROM coo c JOIN x{n} USING (col_id) GROUP BY ALL)"
 
 
-@query(sql("coo x5", _FLOAT.format(n=5) + ", t AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id DESC) AS INTEGER) AS rank, row_id, score FROM s) SELECT qid, rank, row_id, round(score, 6) AS score FROM t WHERE rank <= 100"))
-def topk_exact(spark, sf):
-    return topk.topk(score.multiply(inputs.triples(spark, sf), inputs.queries(spark, sf, 5), cells=320), 100).select("qid", "rank", "row_id", _six("score"))
+@search_query(sql("coo x5", _FLOAT.format(n=5) + ", t AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id DESC) AS INTEGER) AS rank, row_id, score FROM s) SELECT qid, rank, row_id, round(score, 6) AS score FROM t WHERE rank <= 100"))
+def topk_exact(spark, sf, number=5):
+    return topk.topk(score.multiply(inputs.triples(spark, sf), inputs.queries(spark, sf, number), cells=inputs.cells(spark, sf, number)), 100).select("qid", "rank", "row_id", _six("score"))
 
 
-@query(sql("coo x5", _FLOAT.format(n=5) + ", t AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id DESC) AS INTEGER) AS rank, row_id, score FROM s) SELECT qid, rank, row_id, round(score, 6) AS score FROM t WHERE rank <= 100"))
-def topk_dense_batch(spark, sf):
+@search_query(sql("coo x5", _FLOAT.format(n=5) + ", t AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id DESC) AS INTEGER) AS rank, row_id, score FROM s) SELECT qid, rank, row_id, round(score, 6) AS score FROM t WHERE rank <= 100"))
+def topk_dense_batch(spark, sf, number=5):
     a = inputs.dense(spark, sf)
-    q = np.array([r["embedding"] for r in a.filter("row_id < 5").orderBy("row_id").collect()], "f8")  # five queries
-    return topk.topk(score.dense_topk(a, q, 100), 100).select("qid", "rank", "row_id", _six("score"))
+    rows, out = a.filter(inputs.asked(number)).orderBy("row_id").toLocalIterator(), None
+    while block := list(islice(rows, 128)):  # queries that a task holds at once
+        ids = F.array(*[F.lit(r["row_id"]).cast("bigint") for r in block])
+        own = topk.topk(score.dense_topk(a, np.array([r["embedding"] for r in block], "f8"), 100), 100)
+        own = own.select(F.element_at(ids, F.col("qid").cast("int") + 1).alias("qid"), "rank", "row_id", _six("score"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def _int_topk(order: str, where: str = "") -> str:
     return sql("coo x5", _INT + f", t AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY {order}) AS INTEGER) AS rank, row_id, score FROM s {where}) SELECT * FROM t WHERE rank <= 50")
 
 
-@query(_int_topk("score, row_id"))
-def topk_ascending(spark, sf):
-    return topk.topk(_int_scores(spark, sf), 50, ascending=True)
+@search_query(_int_topk("score, row_id"))
+def topk_ascending(spark, sf, number=5):
+    return topk.topk(_int_scores(spark, sf, number), 50, ascending=True)
 
 
-@query(_int_topk("score DESC, row_id DESC"))
-def topk_int(spark, sf):
-    return topk.topk(_int_scores(spark, sf), 50)
+@search_query(_int_topk("score DESC, row_id DESC"))
+def topk_int(spark, sf, number=5):
+    return topk.topk(_int_scores(spark, sf, number), 50)
 
 
-@query(_int_topk("score DESC, row_id DESC", "WHERE score > 0"))
-def topk_positive_only(spark, sf):
-    return topk.topk(_int_scores(spark, sf), 50, least=0)
+@search_query(_int_topk("score DESC, row_id DESC", "WHERE score > 0"))
+def topk_positive_only(spark, sf, number=5):
+    return topk.topk(_int_scores(spark, sf, number), 50, least=0)
 
 
 _PARTS = ", r AS (SELECT count(*) AS n FROM embeddings), p AS (SELECT s.*, CAST(least(row_id // (n // 8), 7) AS INTEGER) AS part FROM s, r), c AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY qid, part ORDER BY score DESC, row_id DESC) <= 16)"
 
 
-def _candidates(spark, sf) -> DataFrame:
+def _candidates(spark, sf, number: int | None) -> DataFrame:
     n = inputs.dense(spark, sf).count()
-    return topk.candidates(_int_scores(spark, sf), layout.split_of(F.col("row_id"), n, 8), 8, 128)
+    return topk.candidates(_int_scores(spark, sf, number), layout.split_of(F.col("row_id"), n, 8), 8, 128)
 
 
-@query(sql("coo x5", _INT + _PARTS + " SELECT qid, part, row_id, score FROM c"))
-def topk_partitioned(spark, sf):
-    return _candidates(spark, sf)
+@search_query(sql("coo x5", _INT + _PARTS + " SELECT qid, part, row_id, score FROM c"))
+def topk_partitioned(spark, sf, number=5):
+    return _candidates(spark, sf, number)
 
 
-@query(sql("coo x5", _INT + _PARTS + ", t AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id DESC) AS INTEGER) AS rank, row_id, score FROM c) SELECT * FROM t WHERE rank <= 50"))
-def topk_partition_merge(spark, sf):
-    return topk.topk(_candidates(spark, sf), 50)
+@search_query(sql("coo x5", _INT + _PARTS + ", t AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id DESC) AS INTEGER) AS rank, row_id, score FROM c) SELECT * FROM t WHERE rank <= 50"))
+def topk_partition_merge(spark, sf, number=5):
+    return topk.topk(_candidates(spark, sf, number), 50)
 
 
-@query(sql("coo x5", _INT + _PARTS + " SELECT qid, part, count(*) AS n FROM c SEMI JOIN (SELECT qid, row_id FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id DESC) <= 100) g USING (qid, row_id) GROUP BY ALL"))
-def candidates_per_partition(spark, sf):
-    best = topk.topk(_int_scores(spark, sf), 100).select("qid", "row_id")
-    return _candidates(spark, sf).join(best, ["qid", "row_id"], "left_semi").groupBy("qid", "part").agg(F.count("*").alias("n"))
+@search_query(sql("coo x5", _INT + _PARTS + " SELECT qid, part, count(*) AS n FROM c SEMI JOIN (SELECT qid, row_id FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id DESC) <= 100) g USING (qid, row_id) GROUP BY ALL"))
+def candidates_per_partition(spark, sf, number=5):
+    best = topk.topk(_int_scores(spark, sf, number), 100).select("qid", "row_id")
+    return _candidates(spark, sf, number).join(best, ["qid", "row_id"], "left_semi").groupBy("qid", "part").agg(F.count("*").alias("n"))
 
 
-@query(sql("coo x5", _INT + _PARTS + ", g AS (SELECT qid, row_id FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id DESC) <= 100) SELECT g.qid, g.row_id FROM g ANTI JOIN c USING (qid, row_id)"))
-def topk_partition_loss(spark, sf):
-    best = topk.topk(_int_scores(spark, sf), 100).select("qid", "row_id")
-    return best.join(_candidates(spark, sf).select("qid", "row_id"), ["qid", "row_id"], "left_anti")
+@search_query(sql("coo x5", _INT + _PARTS + ", g AS (SELECT qid, row_id FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id DESC) <= 100) SELECT g.qid, g.row_id FROM g ANTI JOIN c USING (qid, row_id)"))
+def topk_partition_loss(spark, sf, number=5):
+    best = topk.topk(_int_scores(spark, sf, number), 100).select("qid", "row_id")
+    return best.join(_candidates(spark, sf, number).select("qid", "row_id"), ["qid", "row_id"], "left_anti")
 
 
-@query(sql("coo x5", _INT + ", r AS (SELECT count(*) AS n FROM embeddings), l AS (SELECT row_id, CAST(least(row_id // (n // 8), 7) AS INTEGER) AS part, (row_number() OVER (PARTITION BY CAST(least(row_id // (n // 8), 7) AS INTEGER) ORDER BY row_id, col_id) - 1) // 30 AS pkt FROM q, r), w AS (SELECT part, row_id, min(pkt) AS first, max(pkt) AS pkt FROM l GROUP BY ALL), o AS (SELECT part, row_id, CAST(first >= pkt AS INTEGER) AS lane FROM w QUALIFY row_number() OVER (PARTITION BY part, pkt, first < pkt ORDER BY row_id) = 1) SELECT qid, part, lane, row_id, score FROM s JOIN o USING (row_id) QUALIFY row_number() OVER (PARTITION BY qid, part, lane ORDER BY score DESC, row_id DESC) <= 8"))
-def topk_lanes(spark, sf):
+@search_query(sql("coo x5", _INT + ", r AS (SELECT count(*) AS n FROM embeddings), l AS (SELECT row_id, CAST(least(row_id // (n // 8), 7) AS INTEGER) AS part, (row_number() OVER (PARTITION BY CAST(least(row_id // (n // 8), 7) AS INTEGER) ORDER BY row_id, col_id) - 1) // 30 AS pkt FROM q, r), w AS (SELECT part, row_id, min(pkt) AS first, max(pkt) AS pkt FROM l GROUP BY ALL), o AS (SELECT part, row_id, CAST(first >= pkt AS INTEGER) AS lane FROM w QUALIFY row_number() OVER (PARTITION BY part, pkt, first < pkt ORDER BY row_id) = 1) SELECT qid, part, lane, row_id, score FROM s JOIN o USING (row_id) QUALIFY row_number() OVER (PARTITION BY qid, part, lane ORDER BY score DESC, row_id DESC) <= 8"))
+def topk_lanes(spark, sf, number=5):
     n = inputs.dense(spark, sf).count()
-    return topk.lane_candidates(reduce.quantize(inputs.triples(spark, sf)), _int_scores(spark, sf), layout.split_of(F.col("row_id"), n, 8))
+    return topk.lane_candidates(reduce.quantize(inputs.triples(spark, sf)), _int_scores(spark, sf, number), layout.split_of(F.col("row_id"), n, 8))
 
 
 # -- two stages ----------------------------------------------------------------------------------------------------
@@ -464,25 +483,25 @@ def _two_stage_sql(n: int, ratio: float, ck: int, split: int, k: int) -> str:
 _SHOW = " SELECT qid, rank, row_id, round(score, 6) AS score FROM two"
 
 
-def _two(spark, sf, number: int, k: int, ck: int, split: int, ratio: float = 1.0) -> DataFrame:
+def _two(spark, sf, number: int | None, k: int, ck: int, split: int, ratio: float = 1.0) -> DataFrame:
     a = inputs.triples(spark, sf)
     n = inputs.dense(spark, sf).count()
-    return search.two_stage(a, inputs.queries(spark, sf, number), n, k, ck, split=split, ratio=ratio, cells=64 * number)
+    return search.two_stage(a, inputs.queries(spark, sf, number), n, k, ck, split=split, ratio=ratio, cells=inputs.cells(spark, sf, number))
 
 
-@query(sql("coo x1", _two_stage_sql(1, 1.0, 256, 1, 100) + _SHOW))
-def two_stage_topk(spark, sf):
-    return _two(spark, sf, 1, 100, 256, 1).select("qid", "rank", "row_id", _six("score"))
+@search_query(sql("coo x1", _two_stage_sql(1, 1.0, 256, 1, 100) + _SHOW))
+def two_stage_topk(spark, sf, number=1):
+    return _two(spark, sf, number, 100, 256, 1).select("qid", "rank", "row_id", _six("score"))
 
 
-@query(sql("coo x3", _two_stage_sql(3, 0.5, 256, 8, 100) + _SHOW))
-def two_stage_topk_pruned(spark, sf):
-    return _two(spark, sf, 3, 100, 256, 8, 0.5).select("qid", "rank", "row_id", _six("score"))
+@search_query(sql("coo x3", _two_stage_sql(3, 0.5, 256, 8, 100) + _SHOW))
+def two_stage_topk_pruned(spark, sf, number=3):
+    return _two(spark, sf, number, 100, 256, 8, 0.5).select("qid", "rank", "row_id", _six("score"))
 
 
-@query(sql("coo x5", _two_stage_sql(5, 1.0, 128, 8, 50) + _SHOW))
-def two_stage_batch(spark, sf):
-    return _two(spark, sf, 5, 50, 128, 8).select("qid", "rank", "row_id", _six("score"))
+@search_query(sql("coo x5", _two_stage_sql(5, 1.0, 128, 8, 50) + _SHOW))
+def two_stage_batch(spark, sf, number=5):
+    return _two(spark, sf, number, 50, 128, 8).select("qid", "rank", "row_id", _six("score"))
 
 
 # -- evaluation ----------------------------------------------------------------------------------------------------
@@ -491,71 +510,71 @@ _GOLD = ", s0 AS (SELECT x5.qid, c.row_id, sum(val * x) AS score FROM coo c JOIN
 _LISTS = _GOLD + _two_stage_sql(5, 0.5, 128, 8, 100).replace(" two AS", " test AS")
 
 
-def _gold(spark, sf) -> DataFrame:
-    return topk.topk(score.multiply(inputs.triples(spark, sf), inputs.queries(spark, sf, 5), cells=320), 100)
+def _gold(spark, sf, number: int | None) -> DataFrame:
+    return topk.topk(score.multiply(inputs.triples(spark, sf), inputs.queries(spark, sf, number), cells=inputs.cells(spark, sf, number)), 100)
 
 
-def _test(spark, sf) -> DataFrame:
-    return _two(spark, sf, 5, 100, 128, 8, 0.5)
+def _test(spark, sf, number: int | None) -> DataFrame:
+    return _two(spark, sf, number, 100, 128, 8, 0.5)
 
 
-def _found(spark, sf) -> DataFrame:
+def _found(spark, sf, number: int | None) -> DataFrame:
     n = inputs.dense(spark, sf).count()
-    return search.approximate(inputs.triples(spark, sf), inputs.queries(spark, sf, 5), n, 128, split=8, ratio=0.5, cells=320)
+    return search.approximate(inputs.triples(spark, sf), inputs.queries(spark, sf, number), n, 128, split=8, ratio=0.5, cells=inputs.cells(spark, sf, number))
 
 
 _PRECISION = _LISTS + ", ks(k) AS (VALUES (1), (8), (16), (32), (50), (75), (100)), pr_k AS (SELECT gold.qid, k, sum(CASE WHEN c.row_id IS NOT NULL THEN 1 ELSE 0 END) / k::DOUBLE AS precision FROM gold JOIN ks ON rank <= k LEFT JOIN (SELECT DISTINCT qid, row_id FROM c) c ON c.qid = gold.qid AND c.row_id = gold.row_id GROUP BY gold.qid, k)"
 
 
-@query(sql("coo x5", _PRECISION + " SELECT qid, k, round(precision, 6) AS precision FROM pr_k"))
-def precision_at_k(spark, sf):
-    return evaluate.precision(_gold(spark, sf), _found(spark, sf)).select("qid", "k", _six("precision"))
+@search_query(sql("coo x5", _PRECISION + " SELECT qid, k, round(precision, 6) AS precision FROM pr_k"))
+def precision_at_k(spark, sf, number=5):
+    return evaluate.precision(_gold(spark, sf, number), _found(spark, sf, number)).select("qid", "k", _six("precision"))
 
 
-@query(sql("coo x5", _PRECISION + " SELECT k, round(avg(precision), 6) AS avg_precision, round(avg(CAST(precision = 1 AS DOUBLE)), 6) AS recall FROM pr_k GROUP BY k"))
-def avg_precision_recall(spark, sf):
-    return evaluate.summary(evaluate.precision(_gold(spark, sf), _found(spark, sf))).select("k", _six("avg_precision"), _six("recall"))
+@search_query(sql("coo x5", _PRECISION + " SELECT k, round(avg(precision), 6) AS avg_precision, round(avg(CAST(precision = 1 AS DOUBLE)), 6) AS recall FROM pr_k GROUP BY k"))
+def avg_precision_recall(spark, sf, number=5):
+    return evaluate.summary(evaluate.precision(_gold(spark, sf, number), _found(spark, sf, number))).select("k", _six("avg_precision"), _six("recall"))
 
 
-@query(sql("coo x5", _PRECISION + " SELECT round(sum(p / k), 6) AS metric FROM (SELECT k, avg(precision) AS p FROM pr_k GROUP BY k)"))
-def convergence_metric(spark, sf):
-    return evaluate.convergence(evaluate.summary(evaluate.precision(_gold(spark, sf), _found(spark, sf)))).select(_six("metric"))
+@search_query(sql("coo x5", _PRECISION + " SELECT round(sum(p / k), 6) AS metric FROM (SELECT k, avg(precision) AS p FROM pr_k GROUP BY k)"))
+def convergence_metric(spark, sf, number=5):
+    return evaluate.convergence(evaluate.summary(evaluate.precision(_gold(spark, sf, number), _found(spark, sf, number)))).select(_six("metric"))
 
 
-@query(sql("coo x5", _LISTS + " SELECT i.qid, round(coalesce(g.got, 0) / i.ideal, 6) AS ndcg FROM (SELECT qid, sum(score / log2(rank + 1)) AS ideal FROM gold GROUP BY qid) i LEFT JOIN (SELECT test.qid, sum(gold.score / log2(test.rank + 1)) AS got FROM test JOIN gold ON gold.qid = test.qid AND gold.row_id = test.row_id GROUP BY ALL) g USING (qid)"))
-def ndcg_value(spark, sf):
-    return evaluate.ndcg_by_value(_gold(spark, sf), _test(spark, sf)).select("qid", _six("ndcg"))
+@search_query(sql("coo x5", _LISTS + " SELECT i.qid, round(coalesce(g.got, 0) / i.ideal, 6) AS ndcg FROM (SELECT qid, sum(score / log2(rank + 1)) AS ideal FROM gold GROUP BY qid) i LEFT JOIN (SELECT test.qid, sum(gold.score / log2(test.rank + 1)) AS got FROM test JOIN gold ON gold.qid = test.qid AND gold.row_id = test.row_id GROUP BY ALL) g USING (qid)"))
+def ndcg_value(spark, sf, number=5):
+    return evaluate.ndcg_by_value(_gold(spark, sf, number), _test(spark, sf, number)).select("qid", _six("ndcg"))
 
 
 def _ndcg_rank(n: int) -> str:
     return f"(SELECT qid, sum(({n} - rank + 1) / log2(rank + 1)) AS ideal FROM gold WHERE rank <= {n} GROUP BY qid) i LEFT JOIN (SELECT gold.qid, sum(({n} - test.rank + 1) / log2(gold.rank + 1)) AS got FROM gold JOIN test ON gold.qid = test.qid AND gold.row_id = test.row_id WHERE gold.rank <= {n} AND test.rank <= {n} GROUP BY ALL) g USING (qid)"
 
 
-@query(sql("coo x5", _LISTS + f" SELECT i.qid, round(coalesce(g.got, 0) / i.ideal, 6) AS ndcg FROM {_ndcg_rank(100)}"))
-def ndcg_rank(spark, sf):
-    return evaluate.ndcg_by_rank(_gold(spark, sf), _test(spark, sf)).select("qid", _six("ndcg"))
+@search_query(sql("coo x5", _LISTS + f" SELECT i.qid, round(coalesce(g.got, 0) / i.ideal, 6) AS ndcg FROM {_ndcg_rank(100)}"))
+def ndcg_rank(spark, sf, number=5):
+    return evaluate.ndcg_by_rank(_gold(spark, sf, number), _test(spark, sf, number)).select("qid", _six("ndcg"))
 
 
-@query(sql("coo x5", _LISTS + " " + " UNION ALL ".join(f"SELECT {n} AS bound, i.qid, round(coalesce(g.got, 0) / i.ideal, 6) AS ndcg FROM {_ndcg_rank(n)}" for n in (10, 20, 50))))
-def bounded_ndcg(spark, sf):
-    gold, test = _gold(spark, sf), _test(spark, sf)
+@search_query(sql("coo x5", _LISTS + " " + " UNION ALL ".join(f"SELECT {n} AS bound, i.qid, round(coalesce(g.got, 0) / i.ideal, 6) AS ndcg FROM {_ndcg_rank(n)}" for n in (10, 20, 50))))
+def bounded_ndcg(spark, sf, number=5):
+    gold, test = _gold(spark, sf, number), _test(spark, sf, number)
     parts = [evaluate.ndcg_by_rank(gold, test, n).select(F.lit(n).alias("bound"), "qid", _six("ndcg")) for n in (10, 20, 50)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query(sql("coo x5", _LISTS + ", b AS (SELECT qid, rank, row_id, 0 AS w FROM gold WHERE rank <= 20 UNION ALL SELECT qid, rank, row_id, 1 FROM test WHERE rank <= 20), d AS (SELECT *, chr(CAST(256 + dense_rank() OVER (PARTITION BY qid ORDER BY row_id) AS INTEGER)) AS ch FROM b) SELECT qid, CAST(levenshtein(string_agg(ch, '' ORDER BY rank) FILTER (w = 0), string_agg(ch, '' ORDER BY rank) FILTER (w = 1)) AS INTEGER) AS distance FROM d GROUP BY qid"))
-def edit_distance_topk(spark, sf):
-    return evaluate.edit_distance(_gold(spark, sf), _test(spark, sf), 20)
+@search_query(sql("coo x5", _LISTS + ", b AS (SELECT qid, rank, row_id, 0 AS w FROM gold WHERE rank <= 20 UNION ALL SELECT qid, rank, row_id, 1 FROM test WHERE rank <= 20), d AS (SELECT *, chr(CAST(256 + dense_rank() OVER (PARTITION BY qid ORDER BY row_id) AS INTEGER)) AS ch FROM b) SELECT qid, CAST(levenshtein(string_agg(ch, '' ORDER BY rank) FILTER (w = 0), string_agg(ch, '' ORDER BY rank) FILTER (w = 1)) AS INTEGER) AS distance FROM d GROUP BY qid"))
+def edit_distance_topk(spark, sf, number=5):
+    return evaluate.edit_distance(_gold(spark, sf, number), _test(spark, sf, number), 20)
 
 
-@query(sql("coo x5", _LISTS + " SELECT coalesce(g.qid, t.qid) AS qid, CAST(sum(CASE WHEN g.row_id IS DISTINCT FROM t.row_id THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM (SELECT * FROM gold WHERE rank <= 50) g FULL JOIN (SELECT * FROM test WHERE rank <= 50) t ON g.qid = t.qid AND g.rank = t.rank GROUP BY 1"))
-def rank_errors(spark, sf):
-    return evaluate.positions_differ(_gold(spark, sf), _test(spark, sf), 50)
+@search_query(sql("coo x5", _LISTS + " SELECT coalesce(g.qid, t.qid) AS qid, CAST(sum(CASE WHEN g.row_id IS DISTINCT FROM t.row_id THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM (SELECT * FROM gold WHERE rank <= 50) g FULL JOIN (SELECT * FROM test WHERE rank <= 50) t ON g.qid = t.qid AND g.rank = t.rank GROUP BY 1"))
+def rank_errors(spark, sf, number=5):
+    return evaluate.positions_differ(_gold(spark, sf, number), _test(spark, sf, number), 50)
 
 
-@query(sql("coo x5", _LISTS + ", j AS (SELECT gold.qid, gold.rank, gold.row_id AS a, test.row_id AS b FROM gold JOIN test ON gold.qid = test.qid AND gold.rank = test.rank), l AS (SELECT *, lag(a) OVER w AS pa, lag(b) OVER w AS pb FROM j WINDOW w AS (PARTITION BY qid ORDER BY rank)) SELECT qid, CAST(sum(CASE WHEN a <> b AND NOT coalesce(a = pb AND b = pa, FALSE) THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM l GROUP BY qid"))
-def adjacent_swap_errors(spark, sf):
-    return evaluate.swap_errors(_gold(spark, sf), _test(spark, sf))
+@search_query(sql("coo x5", _LISTS + ", j AS (SELECT gold.qid, gold.rank, gold.row_id AS a, test.row_id AS b FROM gold JOIN test ON gold.qid = test.qid AND gold.rank = test.rank), l AS (SELECT *, lag(a) OVER w AS pa, lag(b) OVER w AS pb FROM j WINDOW w AS (PARTITION BY qid ORDER BY rank)) SELECT qid, CAST(sum(CASE WHEN a <> b AND NOT coalesce(a = pb AND b = pa, FALSE) THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM l GROUP BY qid"))
+def adjacent_swap_errors(spark, sf, number=5):
+    return evaluate.swap_errors(_gold(spark, sf, number), _test(spark, sf, number))
 
 
 @query(sql("coo", "SELECT CAST(sum(CASE WHEN abs(val - val2) > 0.005 THEN 1 ELSE 0 END) AS BIGINT) AS mismatches, count(*) AS compared FROM (SELECT val, floor(val * 100) / 100 AS val2 FROM coo)"))
@@ -570,9 +589,9 @@ def run_stats_skip(spark, sf):
     return evaluate.run_stats(runs, "value", 2).select(_six("mean"), _six("st_dev"))
 
 
-@query(sql("coo x5", _LISTS + " SELECT gold.qid, gold.rank, gold.row_id, coalesce(test.rank, 1000) AS place FROM gold LEFT JOIN test ON gold.qid = test.qid AND gold.row_id = test.row_id"))
-def golden_positions(spark, sf):
-    return evaluate.gold_places(_gold(spark, sf), _test(spark, sf))
+@search_query(sql("coo x5", _LISTS + " SELECT gold.qid, gold.rank, gold.row_id, coalesce(test.rank, 1000) AS place FROM gold LEFT JOIN test ON gold.qid = test.qid AND gold.row_id = test.row_id"))
+def golden_positions(spark, sf, number=5):
+    return evaluate.gold_places(_gold(spark, sf, number), _test(spark, sf, number))
 
 
 # -- graph ---------------------------------------------------------------------------------------------------------
@@ -603,19 +622,19 @@ def pagerank_5_iters(spark, sf):
 @query()
 def prune_ratio_search(spark, sf):
     a, n = inputs.triples(spark, sf), inputs.dense(spark, sf).count()
-    return tune.prune_ratio(a, inputs.queries(spark, sf, 5), n, 50, 128, share=0.99, cells=320, split=8)
+    return tune.prune_ratio(a, inputs.queries(spark, sf, 100), n, 100, 128, share=0.99, cells=6400, split=8)
 
 
 @query()
 def bits_sweep(spark, sf):
     a, n = inputs.triples(spark, sf), inputs.dense(spark, sf).count()
-    return tune.sweep(a, inputs.queries(spark, sf, 5), n, 50, [{"ck": 128, "split": 8, "bits": b} for b in (4, 5, 6)], cells=320)
+    return tune.sweep(a, inputs.queries(spark, sf, 100), n, 100, [{"ck": 128, "split": 8, "bits": b} for b in (4, 5, 6)], cells=6400)
 
 
 @query()
 def ck_sweep(spark, sf):
     a, n = inputs.triples(spark, sf), inputs.dense(spark, sf).count()
-    return tune.sweep(a, inputs.queries(spark, sf, 5), n, 50, [{"ck": c, "split": s, "bits": 6} for c in (64, 128, 256) for s in (1, 8)], cells=320)
+    return tune.sweep(a, inputs.queries(spark, sf, 100), n, 100, [{"ck": c, "split": s, "bits": 6} for c in (64, 128, 256) for s in (1, 8)], cells=6400)
 
 
 @query()
@@ -693,12 +712,12 @@ def result_log(spark, sf):
     return reports.read_log(spark, path).select("k", F.round("avg_precision", 6).alias("avg_precision"), F.round("recall", 6).alias("recall"))
 
 
-@query(_int_topk("score DESC, row_id DESC"))
-def streamed_queries(spark, sf):
+@search_query(_int_topk("score DESC, row_id DESC"))
+def streamed_queries(spark, sf, number=5):
     from sievelight.streaming import answer_stream
 
     base = scratch.folder(spark, "stream")
-    q, x = reduce.quantize(inputs.triples(spark, sf)), reduce.quantize_queries(inputs.queries(spark, sf, 5)).withColumnRenamed("q", "x")
+    q, x = reduce.quantize(inputs.triples(spark, sf)), reduce.quantize_queries(inputs.queries(spark, sf, number)).withColumnRenamed("q", "x")
     x.coalesce(1).write.partitionBy("qid").parquet(f"{base}/in")
     incoming = spark.readStream.schema(x.select("col_id", "x", "qid").schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     a = q.select("row_id", "col_id", F.col("q").cast("bigint").alias("val"))

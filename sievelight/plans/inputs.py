@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.operators import layout
@@ -29,9 +29,20 @@ def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.deduplicated(line_cells(spark, sf_dir).drop("l_linenumber"))
 
 
-def queries(spark: SparkSession, sf_dir: str, number: int) -> DataFrame:
-    """The first rows of the dense matrix as (qid, col_id, x)."""
-    return triples(spark, sf_dir).filter(F.col("row_id") < number).select(F.col("row_id").alias("qid"), "col_id", F.col("val").alias("x"))
+def asked(number: int | None) -> Column:
+    """Which rows of the dense matrix are queries: the first ``number``, or with None the query set of searches, every
+    row whose id is divisible by 100."""
+    return F.col("row_id") < number if number is not None else F.col("row_id") % 100 == 0
+
+
+def queries(spark: SparkSession, sf_dir: str, number: int | None) -> DataFrame:
+    """The rows of the dense matrix that ``asked`` tells as (qid, col_id, x)."""
+    return triples(spark, sf_dir).filter(asked(number)).select(F.col("row_id").alias("qid"), "col_id", F.col("val").alias("x"))
+
+
+def cells(spark: SparkSession, sf_dir: str, number: int | None) -> int:
+    """How many rows ``queries`` has, counted where the number of queries is not given."""
+    return 64 * number if number is not None else queries(spark, sf_dir, None).count()
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,3 +61,10 @@ CTE |= {f"x{n}": f"x{n} AS (SELECT row_id AS qid, col_id, val AS x FROM coo WHER
 
 def sql(names: str, body: str) -> str:
     return f"WITH {', '.join(CTE.get(n, n) for n in names.split())} {body}"
+
+
+def hundredths(text: str) -> str:
+    """SQL over the first vectors as queries, over every vector whose id is divisible by 100 instead."""
+    for n in (1, 3, 5):
+        text = text.replace(CTE[f"x{n}"], CTE[f"x{n}"].replace(f"row_id < {n}", "row_id % 100 = 0"))
+    return text
