@@ -639,15 +639,15 @@ def ck_sweep(spark, sf):
 
 @query()
 def closed_form_precision(spark, sf):
-    rows = [(p, k, precision_lower_bound(100_000, p, k, 8), expected_precision(100_000, p, k, 8)) for p in (8, 16, 32) for k in (8, 16, 32, 50, 75, 100)]
+    rows = [(p, k, precision_lower_bound(100_000, p, k, 8), expected_precision(100_000, p, k, 8)) for p in (8, 16, 32) for k in (8, 16, 32, 50, 75, 100, 300)]
     return spark.createDataFrame(rows, "parts int, k int, lower_bound double, expected double")
 
 
 @query()
 def merged_precision_trials(spark, sf):
-    values, out = generators.trials(spark, 10, 20_000, seed=4), None
+    values, out = generators.trials(spark, 10, 100_000, seed=4), None
     for parts in (8, 16, 32):
-        own = topk.merged_precision(values, 20_000, parts, 8, (8, 16, 32, 50, 75, 100)).groupBy("k").agg(F.avg("precision").alias("precision"))
+        own = topk.merged_precision(values, 100_000, parts, 8, (8, 16, 32, 50, 75, 100, 300)).groupBy("k").agg(F.avg("precision").alias("precision"))
         own = own.select(F.lit(parts).alias("parts"), "k", "precision")
         out = own if out is None else out.unionByName(own)
     return out
