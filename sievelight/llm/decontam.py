@@ -32,8 +32,9 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 @dataclass(frozen=True)
 class Settings:
     """``percent``: edit similarity asked for; an item of n words allows n * (100 - percent) // 100 edits. Items under
-    ``least_words`` are passed over: they occur by chance. ``most_words``: of items in one index, which every task
-    holds (about 100 bytes a word); more items are searched for in several rounds."""
+    ``least_words`` have no walks: they are compared at every word, or looked up where no edit is allowed.
+    ``most_words``: of items in one index, which every task holds (about 100 bytes a word); more items are searched for
+    in several rounds."""
 
     percent: int = 80
     least_words: int = 5
@@ -125,12 +126,17 @@ class Index:
         self.ids, self.words = [], []
         for i, t in items:
             w = words_of(t)
-            if len(w) >= s.least_words:
+            if w:
                 self.ids.append(i)
                 self.words.append([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w])
         self.edits = [len(w) * (100 - s.percent) // 100 for w in self.words]
         self.base = len(self.vocabulary) + 1
-        self.pairs = np.unique(np.array([a * self.base + b for w in self.words for a, b in zip(w, w[1:], strict=False)], "i8"))
+        self.pairs = np.unique(np.array([a * self.base + b for w in self.words if len(w) >= s.least_words for a, b in zip(w, w[1:], strict=False)], "i8"))
+        self.short: dict[int, dict[tuple[int, ...], list[int]]] = {}  # by length: items that have to occur word by word
+        self.edited = [k for k, w in enumerate(self.words) if len(w) < s.least_words and self.edits[k]]
+        for k, w in enumerate(self.words):
+            if len(w) < s.least_words and not self.edits[k]:
+                self.short.setdefault(len(w), {}).setdefault(tuple(w), []).append(k)
         self.classes = []
         low = s.least_words
         longest = max(map(len, self.words), default=0)
@@ -167,18 +173,34 @@ class Index:
         """(item, distance, words of the item, start, end, occurrences) of every item that the text holds; places count
         words, and are those of the nearest occurrence, the first of equals."""
         words = words_of(text)
-        if len(words) < self.settings.least_words // 2 or not self.classes:
+        if not words or not self.ids:
             return []
         get = self.vocabulary.get
         x = np.fromiter(map(get, words, repeat(0)), "i8", len(words))
+        near = self._short(x.tolist()) if self.short or self.edited else {}
+        self._long(x, near)
+        return self._verified(x.tolist(), near) if near else []
+
+    def _short(self, x: list[int]) -> dict[int, set[int]]:
+        """Where items of fewer than ``least_words`` words may start."""
+        near = {item: set(range(len(x))) for item in self.edited}
+        for n, own in self.short.items():
+            for i in range(len(x) - n + 1):
+                for item in own.get(tuple(x[i : i + n]), ()):
+                    near.setdefault(item, set()).add(i)
+        return near
+
+    def _long(self, x: np.ndarray, near: dict[int, set[int]]) -> None:
+        """Adds to ``near`` the windows that share a key with an item."""
+        if len(x) < self.settings.least_words // 2 or not self.classes:
+            return
         known = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0))
         if len(known) < min(c.pairs for c in self.classes):
-            return []
+            return
         pair = x[known] * self.base + x[known + 1]
         hit = self.pairs[np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)] == pair
         if hit.sum() < min(c.pairs for c in self.classes):
-            return []
-        near: dict[int, set[int]] = {}
+            return
         place, number = known[hit], np.searchsorted(self.pairs, pair[hit])
         for c in self.classes:
             own = place[c.member[number]]  # pairs of this class's items
@@ -198,7 +220,6 @@ class Index:
                 for r, w in zip(*np.nonzero(last > first), strict=True):
                     for item in c.items[first[r, w] : last[r, w]].tolist():
                         near.setdefault(item, set()).add(int(own[w]))
-        return self._verified(x.tolist(), near)
 
     def _verified(self, x: list[int], near: dict[int, set[int]]) -> list[tuple[int, int, int, int, int, int]]:
         out = []
@@ -251,9 +272,9 @@ def find(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None
     """One row for each document (doc_id, text) and item (item_id, text) that it holds: doc_id, item_id, distance,
     item_words, start_word, end_word (exclusive), occurrences.
 
-    Words are compared with A-Z lower-cased and without ASCII marks. Null and empty texts hold nothing; null or short
-    items are nowhere; items with equal texts are each reported; repeated documents are each reported; a null doc_id is
-    reported as null. Other columns are ignored. Empty tables give no rows.
+    Words are compared with A-Z lower-cased and without ASCII marks. Null and empty texts hold nothing; null items
+    and items without words are nowhere; items with equal texts are each reported; repeated documents are each reported;
+    a null doc_id is reported as null. Other columns are ignored. Empty tables give no rows.
     """
     s = settings or Settings()
     spark = docs.sparkSession

@@ -97,3 +97,16 @@ def test_recall_of_the_walks(items):
     assert index.classes and all(len(c.samples) <= 96 for c in index.classes)
     same = decontam.keys(np.array([[1, 2, 3, 4, 5, 6]] * 2), np.array([[0, 2], [1, 3]]), 1)
     assert same.shape == (2, 2) and (same[:, 0] == same[:, 1]).all() and same[0, 0] != same[1, 0]
+
+
+def test_items_of_few_words(spark, make):
+    short = [(1, "Quokka"), (2, "blue quokka tea"), (3, "!!"), (4, "one two three four")]
+    rows = [(1, "a quokka, and a QUOKKA"), (2, "quokka"), (3, "some blue, quokka tea"), (4, "blue tea quokka"), (5, "one two three five"), (6, prose(3, 80)), (7, "one two three four"), (8, None)]
+    bench = spark.createDataFrame([*short, (5, prose(4, 30))], "item_id bigint, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["distance"], x["start_word"], x["end_word"], x["occurrences"]) for x in decontam.find(make(rows), bench).collect()}
+    assert got == {(1, 1): (0, 1, 2, 2), (2, 1): (0, 0, 1, 1), (3, 1): (0, 2, 3, 1), (3, 2): (0, 1, 4, 1), (4, 1): (0, 2, 3, 1), (7, 4): (0, 0, 4, 1)}
+    assert {x["doc_id"] for x in decontam.clean(make(rows), bench).collect()} == {5, 6, 8}
+    only = spark.createDataFrame(short, "item_id bigint, text string")
+    assert decontam.find(make(rows), only).count() == len(got)
+    loose = decontam.find(make(rows), only, decontam.Settings(percent=70)).filter("item_id = 4")
+    assert {(x["doc_id"], x["distance"]) for x in loose.collect()} == {(5, 1), (7, 0)}
