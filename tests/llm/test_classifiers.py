@@ -121,3 +121,17 @@ def test_held_out_labels_are_not_learnt_from(spark, make):
     from zlib import crc32
 
     assert sorted(r["doc_id"] for r in rows) == [i for i in range(30) if crc32(str(i).encode()) % 5]
+
+
+def test_prior_is_read_from_every_unlabelled_document(spark, make, monkeypatch):
+    texts, bad = labelled(240, junk, 0)
+    docs = make(list(enumerate(texts)))
+    labels = spark.createDataFrame([(i, 1) for i in range(240) if i % 3 == 1], "doc_id bigint, quality int")
+    read, real = [], quality.class_prior
+
+    def watched(p, u, s, pool=None):
+        return real(p, u, s, pool and (lambda m, cuts: read.append(pool(m, cuts)) or read[-1]))
+
+    monkeypatch.setattr(quality, "class_prior", watched)
+    model = quality.fit(docs, labels, settings=quality.Settings(unlabelled=40, steps=100))
+    assert [r.sum() for r in read] == [160 - 20] and 0 < model.prior < 1
