@@ -135,3 +135,56 @@ def test_prior_is_read_from_every_unlabelled_document(spark, make, monkeypatch):
     monkeypatch.setattr(quality, "class_prior", watched)
     model = quality.fit(docs, labels, settings=quality.Settings(unlabelled=40, steps=100))
     assert [r.sum() for r in read] == [160 - 20] and 0 < model.prior < 1
+
+
+def test_quality_risk_and_gradient_against_plain_python():
+    """The risk summed in loops, and its gradient by differences, where the negatives' part is positive."""
+    from math import exp, log
+
+    rng = np.random.default_rng(3)
+    gp, gu = rng.normal(1, 1, 7), rng.normal(-0.5, 1, 11)
+    loss = lambda g, y: log(1 + exp(-g if y else g))
+
+    def plain(gp, gu, prior):
+        as_one = sum(loss(g, 1) for g in gp) / len(gp)
+        negative = sum(loss(g, 0) for g in gu) / len(gu) - prior * sum(loss(g, 0) for g in gp) / len(gp)
+        return prior * as_one + max(0.0, negative), negative
+
+    for prior in (0.1, 0.3, 0.9):
+        got, dp, du = quality.risk(gp, gu, prior)
+        want, negative = plain(gp, gu, prior)
+        assert got == pytest.approx(want)
+        for side, push in ((0, dp), (1, du)):
+            for i in range(len(push)):
+                near = [gp.copy(), gu.copy()]
+                near[side][i] += 1e-6
+                slope = (plain(*near, prior)[0] - want) / 1e-6
+                raised = (plain(*near, prior)[1] - negative) / 1e-6
+                assert push[i] == pytest.approx(slope if negative >= 0 else -raised, abs=1e-5)
+    assert plain(gp, gu, 0.1)[1] > 0 > plain(gp, gu, 0.9)[1]  # both sides of the bound were met
+
+    xp, xu = rng.normal(size=(7, 5)), rng.normal(size=(11, 5))
+    layers = [rng.normal(size=(5, 3)), rng.normal(size=3), rng.normal(size=3), np.zeros(())]
+    value = lambda at: quality.risk(*(np.tanh(x @ at[0] + at[1]) @ at[2] + at[3] for x in (xp, xu)), 0.2)[0]
+    for k, g in enumerate(quality.gradients(layers, xp, xu, 0.2)):
+        for i in np.ndindex(g.shape):
+            near = [x.copy() for x in layers]
+            near[k][i] += 1e-6
+            assert g[i] == pytest.approx((value(near) - value(layers)) / 1e-6, abs=1e-4)
+
+
+def test_quality_on_a_small_table():
+    """Held-out accuracy by the labels' split, where a few hundred documents are all there is."""
+    from zlib import crc32
+
+    import pandas as pd
+
+    sf = "/root/testdata/sf0.01"
+    docs = pd.read_parquet(f"{sf}/documents.parquet").merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id", how="left")
+    x = np.array([quality.features(t.encode()) for t in docs["text"]], "f8")
+    held = np.array([crc32(str(d).encode()) % 4 == 2 for d in docs["doc_id"]])
+    p, u = np.flatnonzero((docs["quality"] == 1) & ~held), np.flatnonzero(~held)
+    score = quality.train(x[p], x[u], ids=(p, u)).score(x)
+    good, bad = score[held & (docs["quality"] == 1)], score[held & (docs["quality"] == 0)]
+    assert (good[:, None] > bad[None, :]).mean() >= 0.95
+    assert (bad >= 0.7).mean() < 0.1 and (good >= 0.7).mean() > 0.9
