@@ -7,7 +7,8 @@ class of items has as many independent walks as reach the target recall on items
 Windows that share a key with an item are verified by their exact edit distance.
 
 Windows that cannot match are not embedded: an edit spoils two word pairs at most, so a matching window holds at least
-n - 1 - 2k pairs that occur in some item.
+n - 1 - 2k pairs that occur in some item. Where that says nothing, all windows are embedded; where no number of walks
+up to the bound reaches the target, the items are compared at every word instead.
 """
 
 from __future__ import annotations
@@ -29,10 +30,15 @@ _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
+#: Edited items of each kind, at least, on which a length's walks are tried.
+TRIALS = 400
+
+
 @dataclass(frozen=True)
 class Settings:
     """``percent``: edit similarity asked for; an item of n words allows n * (100 - percent) // 100 edits. Items under
-    ``least_words`` have no walks: they are compared at every word, or looked up where no edit is allowed.
+    ``least_words`` have no walks: they are compared at every word, or looked up where no edit is allowed. So are the items
+    of a length for which ``most_walks`` walks do not reach ``recall``.
     ``most_words``: of items in one index, which every task holds (about 100 bytes a word); more items are searched for
     in several rounds."""
 
@@ -144,26 +150,36 @@ class Index:
             high = max(low, low * 5 // 4)
             own = [k for k, w in enumerate(self.words) if low <= len(w) <= high]
             if own:
-                self.classes.append(self._class(own, min(len(self.words[k]) for k in own), max(len(self.words[k]) for k in own)))
+                found = self._class(own, min(len(self.words[k]) for k in own), max(len(self.words[k]) for k in own))
+                if found is None:
+                    self.edited += own
+                else:
+                    self.classes.append(found)
             low = high + 1
+        #: Fewer words than this hold no item: each missing word is an edit.
+        self.least = min((len(w) - e for w, e in zip(self.words, self.edits, strict=True)), default=1)
 
-    def _class(self, own: list[int], low: int, high: int) -> LengthClass:
+    def _class(self, own: list[int], low: int, high: int) -> LengthClass | None:
+        """Walks for the items ``own``; none if the target recall is out of reach."""
         s = self.settings
         length = high + max(self.edits[k] for k in own)
-        pairs = max(1, min(len(self.words[k]) - 1 - 2 * self.edits[k] for k in own))
+        pairs = max(0, min(len(self.words[k]) - 1 - 2 * self.edits[k] for k in own))
         steps = max(2, low * 8 // 5)
         rng = np.random.default_rng(s.seed + low)
-        # items edited to the limit, with words that no item has
+        # items edited to the limit, with words that no item has: one half in any way, the other by replacing words
         trial = [own[i] for i in rng.permutation(len(own))[:32]]
-        edited = [_edited(self.words[k], self.edits[k], rng) for k in trial for _ in range(8)]
-        whole = _grid([self.words[k] for k in trial for _ in range(8)], length)
+        trial *= -(-TRIALS // len(trial))
+        edited = [_edited(self.words[k], self.edits[k], rng, kinds) for kinds in (3, 1) for k in trial]
+        whole = _grid([self.words[k] for k in trial] * 2, length)
         for places in range(min(s.places, steps), 0, -1):
             samples = np.sort(np.stack([rng.permutation(steps)[:places] for _ in range(s.most_walks)]), axis=1)
             same = keys(whole, samples, s.seed) == keys(_grid(edited, length), samples, s.seed)
-            met = np.logical_or.accumulate(same, axis=0).mean(axis=1)
-            if met[-1] >= s.recall or places == 1:
-                samples = samples[: min(s.most_walks, int(np.searchsorted(met, s.recall)) + 1)]
+            met = np.logical_or.accumulate(same, axis=0).reshape(s.most_walks, 2, -1).mean(axis=2).min(axis=1)
+            if met[-1] >= s.recall:
+                samples = samples[: int(np.searchsorted(met, s.recall)) + 1]
                 break
+        else:
+            return None
         k = keys(_grid([self.words[i] for i in own], length), samples, s.seed).ravel()
         order = np.argsort(k, kind="stable")
         mine = [a * self.base + b for i in own for a, b in zip(self.words[i], self.words[i][1:], strict=False)]
@@ -173,7 +189,7 @@ class Index:
         """(item, distance, words of the item, start, end, occurrences) of every item that the text holds; places count
         words, and are those of the nearest occurrence, the first of equals."""
         words = words_of(text)
-        if not words or not self.ids:
+        if not words or len(words) < self.least or not self.ids:
             return []
         get = self.vocabulary.get
         x = np.fromiter(map(get, words, repeat(0)), "i8", len(words))
@@ -182,7 +198,7 @@ class Index:
         return self._verified(x.tolist(), near) if near else []
 
     def _short(self, x: list[int]) -> dict[int, set[int]]:
-        """Where items of fewer than ``least_words`` words may start."""
+        """Where items without walks may start."""
         near = {item: set(range(len(x))) for item in self.edited}
         for n, own in self.short.items():
             for i in range(len(x) - n + 1):
@@ -192,7 +208,7 @@ class Index:
 
     def _long(self, x: np.ndarray, near: dict[int, set[int]]) -> None:
         """Adds to ``near`` the windows that share a key with an item."""
-        if len(x) < self.settings.least_words // 2 or not self.classes:
+        if not self.classes:
             return
         known = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0))
         if len(known) < min(c.pairs for c in self.classes):
@@ -251,10 +267,12 @@ def _grid(rows: list[list[int]], length: int) -> np.ndarray:
     return out
 
 
-def _edited(words: list[int], edits: int, rng: np.random.Generator) -> list[int]:
+def _edited(words: list[int], edits: int, rng: np.random.Generator, kinds: int = 3) -> list[int]:
+    """``kinds``: 1 only replaces words, each of them once."""
     out = list(words)
-    for _ in range(edits):
-        kind, at = rng.integers(3), int(rng.integers(len(out)))
+    places = rng.permutation(len(words))
+    for i in range(edits):
+        kind, at = (0, int(places[i])) if kinds == 1 else (rng.integers(3), int(rng.integers(len(out))))
         if kind == 0:
             out[at] = 0
         elif kind == 1:

@@ -110,3 +110,28 @@ def test_items_of_few_words(spark, make):
     assert decontam.find(make(rows), only).count() == len(got)
     loose = decontam.find(make(rows), only, decontam.Settings(percent=70)).filter("item_id = 4")
     assert {(x["doc_id"], x["distance"]) for x in loose.collect()} == {(5, 1), (7, 0)}
+
+
+@pytest.mark.parametrize("percent,walks", [(50, 96), (20, 96), (80, 1)])
+def test_every_item_is_found_at_any_limit(percent, walks):
+    """Against the distances of all items and texts: where the walks cannot reach the recall, every word is compared."""
+    r = random.Random(percent)
+    items = [(n, prose(800 + n, n)) for n in range(1, 13)]
+    s = decontam.Settings(percent=percent, most_walks=walks)
+    index = decontam.Index([(i, t.encode()) for i, t in items], s)
+    assert walks > 1 or not index.classes
+    n = found = 0
+    for k in range(150):
+        item = items[k % len(items)][1].split()
+        host = [f"h{r.random()}" for _ in range(r.randint(0, 12))]
+        at = r.randrange(len(host) + 1)
+        text = host[:at] + change(item, len(item) * (100 - percent) // 100, r) + host[at:]
+        want = {i: d for i, t in items if (d := sellers(t.split(), text)) <= len(t.split()) * (100 - percent) // 100}
+        got = {i: d for i, d, *_ in index.find(" ".join(text).replace(".", "").encode())}
+        assert got.items() <= want.items()
+        n, found = n + len(want), found + len(got)
+    assert found >= (0.99 if walks > 1 else 1) * n > 0
+    # 3 of 6 words replaced leave no pair of the item
+    own = decontam.Index([(0, b"one two three four five six")], decontam.Settings(percent=50))
+    assert own.find(b"one x three y five z") == [(0, 3, 6, 0, 5, 1)]
+    assert own.find(b"one three five") and not own.find(b"one three")
