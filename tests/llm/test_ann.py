@@ -77,6 +77,36 @@ def test_few_rows(spark):
     assert found(ann.nearest(table(spark, filled(rows[:1])), F.col("vec_id") % 20 == 0)) == {}
 
 
+def test_ties_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(5)
+    near = np.column_stack([np.full(1000, 2.0), rng.normal(size=(1000, 3))])
+    at = np.argpartition(-near[:, 1], 5)[:5]
+    ids = rng.permutation(np.arange(1, 20_000, 20))[:1000]
+    best = ann._best(np.array([[1.0, 0, 0, 0], [1.0, 1.0, 0, 0]]), near, ids, np.arange(1000), np.array([-1, -1]), 5)
+    assert best[0][1].tolist() == sorted(ids.tolist())[:5] and set(best[1][1].tolist()) == set(ids[at].tolist())
+    rows = [(0, [1.0, 0, 0, 0]), *zip(ids.tolist(), near.tolist(), strict=True)]
+    got = found(ann.nearest(table(spark, filled(rows)).repartition(5), F.col("vec_id") == 0, k=20, settings=ann.Settings(least=2000)))
+    assert got == {0: [(i, 2.0) for i in sorted(ids.tolist())[:20]]}
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [3.0, 0.5])]
+    got = ann.nearest(table(spark, filled(rows)), F.col("vec_id") == 0, k=3).collect()
+    lists = sorted([(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got])
+    # of the first query: 2 (3.0), 1, 1 (1.0); of the second: 1, 1 (1.0), 2 (0.5); the other row 0 scores 0
+    assert lists == sorted([(0, 1, 2, 3.0), (0, 2, 1, 1.0), (0, 3, 1, 1.0), (0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 2, 0.5)])
+
+
+def test_floats_keep_their_exact_products(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(80, 5)).astype("f4")
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    got = found(ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), F.col("vec_id") % 20 == 0, k=7))
+    want = brute(rows, 7, lambda i: i % 20 == 0)
+    assert {q: [j for j, _ in v] for q, v in got.items()} == {q: [j for j, _ in v] for q, v in want.items()}
+    assert all(abs(a[1] - b[1]) < 1e-14 for q in want for a, b in zip(got[q], want[q], strict=True))
+
+
 @pytest.mark.parametrize("dims,bits", [(2, 3), (3, 2), (4, 2)])
 def test_curve_visits_every_cell_by_single_steps(dims, bits):
     cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), axis=-1).reshape(-1, dims)
