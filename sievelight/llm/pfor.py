@@ -175,7 +175,7 @@ class Reader:
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, block: int = 512, percentile: float = 0.95) -> DataFrame:
     """Write the ids of all ``docs`` (doc_id, text) below ``folder``; return the files' table, read from the folder.
 
-    The table: part, path, n_ids, n_docs; parts ascend as doc_id does (null first, ties by text). Every document ends
+    The table: part, path, n_ids, n_docs; parts ascend as doc_id does (null first, ties by the text's hash). Every document ends
     with ``end_id``; null text counts as empty, so it has that id alone. Other columns are ignored. A repeated task
     writes a file of another name, and the table names only files of tasks that succeeded.
     """
@@ -201,8 +201,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_ids": [out.n_ids], "n_docs": [len(out.docs)]}, _FILES_ARROW)
 
     common.ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    place = F.xxhash64("text")  # rows of one id, or without one, may be many: they are dealt out as well
+    ordered = rows.repartitionByRange("doc_id", place).sortWithinPartitions("doc_id", place, "text")
     ordered.mapInArrow(task, _FILES).write.parquet(f"{folder}/table")
     return docs.sparkSession.read.schema(_FILES).parquet(f"{folder}/table")
 

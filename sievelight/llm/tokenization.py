@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import string
@@ -33,14 +34,23 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(spelt[b] for b in chr(c).encode()) for c in range(ord(_LETTERS))}
 
 
+def _plain(file: dict) -> bool:
+    """Whether a tokenizer's file is a byte-level BPE of which pieces can be encoded on their own."""
+    model, before = file["model"], file["pre_tokenizer"] or {}
+    split = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    bare = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback"))
+    return split and model["type"] == "BPE" and bare and not any(file.get(k) for k in ("normalizer", "truncation", "padding"))
+
+
 class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     The pre-tokenizer of a byte-level BPE never joins characters across a blank that stands alone, so the text is cut
     there, and each distinct piece goes through the library once while it stays in the cache: two generations of
     ``limit`` pieces; what was not met again during the last ``limit`` new pieces is forgotten. Pieces over
-    ``longest`` characters are never kept. Special tokens' strings in a text are ordinary text. A null text counts as
-    empty.
+    ``longest`` characters are never kept. A text that holds the string of an added token, which the library looks for
+    before anything else, goes through it whole, as do all texts where the file is no plain byte-level BPE. A null text
+    counts as empty.
     """
 
     def __init__(self, path: str, limit: int = 400_000, longest: int = 48):
@@ -48,10 +58,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.plain = _plain(json.loads(self.whole.to_str()))
         self.word, self.spelt = self.whole.model, _byte_letters()
         self.marks: dict[str, bytes] = {}
-        self.break_ = self._ids(["\n"])[0]
+        self.break_ = self._ids(["\n"])[0] if self.plain else b""
         self.limit, self.longest = limit, longest
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -96,6 +108,14 @@ class Encoder:
         return _CUT.split(text) if _RUN.search(text) else text.replace("\n", " \n").split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        odd = [i for i, t in enumerate(texts) if t and (not self.plain or (self.added and self.added.search(t)))]
+        if not odd:
+            return self._pieces(texts)
+        whole = dict(zip(odd, self._ids([texts[i] for i in odd]), strict=True))
+        out = self._pieces([None if i in whole else t for i, t in enumerate(texts)])
+        return [whole.get(i, x) for i, x in enumerate(out)]
+
+    def _pieces(self, texts: list[str | None]) -> list[bytes]:
         if len(self.marks) > 10_000:
             self.marks = {}
         cut = [self._cut(t) for t in texts]

@@ -32,6 +32,24 @@ def test_encoder_equals_the_library(encoder, texts):
     assert encoder.encode(texts) == [x.tobytes() for x in plain(encoder, texts)]
 
 
+def test_added_tokens_and_other_files_go_through_the_library(tmp_path):
+    """Against a tokenizer that nothing has touched, with its special tokens; and files that no piece may be cut from."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    path = tokenization.default_path()
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a b <|endoftext|>  c", "<|endof text|> two  blanks", None, "", prose(1, 40)]
+    library = lambda t: [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    whole = Tokenizer.from_file(path)
+    own = tokenization.Encoder(path)
+    assert own.plain and own.encode(texts) == library(whole)
+    assert 50256 in np.frombuffer(own.encode(texts)[0], "<u4")
+    for k, change in enumerate((lambda t: setattr(t, "normalizer", normalizers.Lowercase()), lambda t: setattr(t, "pre_tokenizer", pre_tokenizers.ByteLevel(add_prefix_space=True)))):
+        other = Tokenizer.from_file(path)
+        change(other)
+        other.save(str(at := tmp_path / f"{k}.json"))
+        assert not (own := tokenization.Encoder(str(at))).plain and own.encode(texts) == library(other)
+
+
 def test_encoder_forgets_and_relearns(encoder):
     texts = [prose(i, 300) + f" only{i} here{i}ever" for i in range(30)]
     for _ in range(2):
