@@ -1,8 +1,10 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 Every character n-gram of a word, blanks at both ends included, has a vector in a hashed table; a document is the mean
-of its n-grams' vectors, and a linear softmax over two classes reads it. Vectors and softmax are trained jointly in
-numpy, so misspellings and endings never seen share the vectors of the n-grams they keep.
+of the n-grams of its distinct words, so that no repetition thins out the rest, and a linear softmax over two classes
+reads it. Vectors and softmax are trained jointly in numpy, so misspellings and endings never seen share the vectors of
+the n-grams they keep. Vectors that few texts pull at shrink to nothing: what is peculiar to one text says nothing of
+another.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ class Settings:
     orders: tuple[int, ...] = (3, 4, 5, 6)
     bits: int = 17
     dim: int = 4
+    #: An n-gram has a vector if so many of 1000 or more texts hold it, of fewer texts a share of that.
+    texts: int = 8
+    #: Vectors shrink by this share of the largest pull of any n-gram, those of n-grams that pull less to nothing.
+    sparse: float = 0.004
     epochs: int = 8
     #: Updates at least, however few the rows.
     steps: int = 500
@@ -120,12 +126,23 @@ def train(texts: list[bytes | None], labels: np.ndarray, s: Settings) -> Model:
         bucket, count = np.unique(np.concatenate(b) if b else np.zeros(0, "u4"), return_counts=True)
         bags.append((bucket.astype("i4"), (count / (count.sum() + s.neutral)).astype("f4")))
     rng = np.random.default_rng(s.seed)
-    table = rng.uniform(-1 / s.dim, 1 / s.dim, (1 << s.bits, s.dim)).astype("f4")
+    # n-grams of too few texts could only say which text they are from
+    seen = np.bincount(np.concatenate([b for b, _ in bags]), minlength=1 << s.bits)
+    kept = np.flatnonzero(seen >= min(s.texts, np.ceil(s.texts * len(bags) / 1000)))
+    place = np.full(1 << s.bits, -1, "i4")
+    place[kept] = np.arange(len(kept))
+    bags = [(place[b][own], c[own]) for b, c in bags for own in [place[b] >= 0]]
+    table = rng.uniform(-1 / s.dim, 1 / s.dim, (len(kept), s.dim)).astype("f4")
     soft = rng.uniform(-1, 1, (s.dim, 2)).astype("f4")
     bias = np.zeros(2, "f4")
-    g_table, g_soft, g_bias = np.full(1 << s.bits, 1e-8, "f4"), np.full((s.dim, 2), 1e-8, "f4"), np.full(2, 1e-8, "f4")
+    g_table, g_soft, g_bias = np.full(len(kept), 1e-8, "f4"), np.full((s.dim, 2), 1e-8, "f4"), np.full(2, 1e-8, "f4")
     weight = np.where(labels == 1, s.prior / n1, (1 - s.prior) / (len(labels) - n1)) * len(labels)
     epochs = max(s.epochs, -(-s.steps * s.batch // len(bags)))
+    # how far each n-gram pulls at the start, where every text is as likely to be of either class
+    pull = np.zeros(len(kept))
+    for (b, c), w, y in zip(bags, weight.tolist(), labels.tolist(), strict=True):
+        pull[b] += (0.5 - y) * w * c
+    shrink = s.sparse * np.abs(pull).max(initial=0.0) / len(bags)
     for epoch in range(epochs):
         order, rate = rng.permutation(len(bags)), s.rate * (1 - epoch / epochs)
         for k in range(0, len(order), s.batch):
@@ -143,14 +160,20 @@ def train(texts: list[bytes | None], labels: np.ndarray, s: Settings) -> Model:
             d[np.arange(len(own)), labels[own]] -= 1
             d *= (weight[own] / len(own))[:, None]
             d_soft, d_bias, d_hidden = hidden.T @ d, d.sum(axis=0), (d @ soft.T).astype("f4")
-            g = np.stack([np.bincount(bucket, share * d_hidden[doc, j], 1 << s.bits) for j in range(s.dim)], axis=1).astype("f4")
+            g = np.stack([np.bincount(bucket, share * d_hidden[doc, j], len(kept)) for j in range(s.dim)], axis=1).astype("f4")
             g_table += (g * g).sum(axis=1)
-            table -= rate * g / (g_table**s.power)[:, None]
+            step = rate / g_table**s.power
+            table -= step[:, None] * g
+            # soft thresholds, measured in the softmax's units
+            size, apart = np.sqrt((table * table).sum(axis=1)), float(np.sqrt(((soft[:, 1] - soft[:, 0]) ** 2).sum()))
+            table *= np.maximum(0, 1 - step * shrink * apart / np.maximum(size, 1e-12))[:, None]
             g_soft += d_soft**2
             soft -= rate * d_soft / np.sqrt(g_soft)
             g_bias += d_bias**2
             bias -= rate * d_bias / np.sqrt(g_bias)
-    return Model(s, (table @ (soft[:, 1] - soft[:, 0])).astype("f4"), float(bias[1] - bias[0]), table, soft)
+    whole = np.zeros((1 << s.bits, s.dim), "f4")
+    whole[kept] = table
+    return Model(s, (whole @ (soft[:, 1] - soft[:, 0])).astype("f4"), float(bias[1] - bias[0]) - 1e-3, whole, soft)
 
 
 def sample(docs: DataFrame, labels: DataFrame, column: str, most: int, allowed=None) -> DataFrame:

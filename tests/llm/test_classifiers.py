@@ -49,6 +49,48 @@ def test_toxicity_on_unseen_texts_and_misspellings():
     assert np.allclose(again.score([unseen[0].encode()]), p[:1])
 
 
+def test_toxicity_score_is_the_mean_read_by_the_softmax():
+    """In plain Python: n-grams of the distinct words, hashed by the documented steps, the mean of their vectors, softmax."""
+    texts, y = labelled(200, toxic, 0)
+    s = toxicity.Settings(steps=60)
+    m = toxicity.train([t.encode() for t in texts], y, s)
+    assert 0 < (np.abs(m.table).sum(axis=1) > 0).sum() < 1 << s.bits
+
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0x01000193 + c) % 2**32
+        return ((h ^ (h >> 15)) * 0x85EBCA6B) % 2**32 >> (32 - s.bits)
+
+    for text in (b"You IDIOTIC scumbag, you scumbag!", b"a bc", "Ünïcode morons-1 morons".encode(), b"", prose(5, 30).encode()):
+        words = "".join(chr(c) if c >= 128 or chr(c).isalnum() else " " for c in text).encode("latin1").lower().split()
+        mean, n = np.zeros(s.dim), 0
+        for w in dict.fromkeys(words):
+            w = b" " + w + b" "
+            for k in s.orders:
+                for i in range(len(w) - k + 1):
+                    mean, n = mean + m.table[bucket(w[i : i + k])], n + 1
+        z = mean / (n + s.neutral) @ m.softmax
+        assert m.score([text])[0] == pytest.approx(1 / (1 + np.exp(z[0] - z[1] - m.bias)), abs=1e-5)
+
+
+def test_toxicity_on_a_small_table():
+    """Held-out accuracy by the labels' split, where only some dozen texts are toxic."""
+    from zlib import crc32
+
+    import pandas as pd
+
+    sf = "/root/testdata/sf0.01"
+    docs = pd.read_parquet(f"{sf}/documents.parquet").merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
+    texts, y = [t.encode() for t in docs["text"]], docs["toxic"].to_numpy()
+    held = np.array([crc32(str(d).encode()) % 5 == 0 for d in docs["doc_id"]])
+    m = toxicity.train([t for t, h in zip(texts, held, strict=True) if not h], y[~held], toxicity.Settings())
+    p = m.score([t for t, h in zip(texts, held, strict=True) if h])
+    bad, good = p[y[held] == 1], p[y[held] == 0]
+    assert (bad[:, None] > good[None, :]).mean() >= 0.95
+    assert (bad >= 0.5).mean() >= 0.3 and (good >= 0.5).mean() <= 0.05
+
+
 def test_toxicity_odd_texts():
     m = toxicity.train([b"a bad thing", b"good things here"], np.array([1, 0]), toxicity.Settings(steps=20))
     p = m.score([None, b"", b" \n", b"x", b"word " * 40_000, "Ünïcode 中文".encode()])
