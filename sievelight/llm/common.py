@@ -8,6 +8,7 @@ import io
 import os
 import sys
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -27,10 +28,11 @@ _shipped: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python workers, once per application."""
+    """Make this package importable in the executors' Python workers, once per application; and lower the rows of an Arrow
+    batch for the session, if they are Spark's default, as rows here hold whole texts."""
     sc = spark.sparkContext
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # rows hold whole texts
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
@@ -46,11 +48,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder of our own only in local mode, where
+    driver and executors are one process."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="sievelight-")
         spark.sparkContext.setCheckpointDir(at)
     return at if "://" in at or at.startswith("file:") else f"file://{os.path.abspath(at)}"
@@ -60,18 +65,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/sievelight/{name}-{uuid.uuid4().hex}"
 
 
-_open: list[list[str]] = []
+class _Open(threading.local):
+    """Of each thread: what its open ``scratch`` blocks have to delete."""
+
+    def __init__(self):
+        self.paths: list[list[str]] = []
+
+
+_open = _Open()
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete the tables that ``stored`` writes inside, but those with ``keep``, when all is done. What leaves the block
     must be such a table."""
-    _open.append([])
+    _open.paths.append([])
     try:
         yield
     finally:
-        for path in _open.pop():
+        for path in _open.paths.pop():
             drop_path(spark, path)
 
 
@@ -79,10 +91,10 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts the lineage and outlives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    if _open and not keep:
-        _open[-1].append(path)
-    elif keep and len(_open) > 1:
-        _open[-2].append(path)
+    if _open.paths and not keep:
+        _open.paths[-1].append(path)
+    elif keep and len(_open.paths) > 1:
+        _open.paths[-2].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -25,6 +25,8 @@ from sievelight.llm import common
 
 #: Words at most whose counts every task holds.
 HEAD = 200_000
+#: Models that one task, or the driver, adds up; more are added in several steps.
+ADDENDS = 16
 #: Count that every word type has besides its own, also the one type that stands for all words never seen.
 ADDED = 0.1
 
@@ -306,8 +308,13 @@ def train(texts: DataFrame, lex: Lexicon) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], schema=arrow)
 
         kind = common.schema(sums="binary")
-        parts = common.stored(texts.select(F.col("text").cast("string").alias("text")).mapInArrow(task, kind), "expected")
-        total = sum(np.frombuffer(bytes(r["sums"])) for r in parts.coalesce(16).mapInArrow(add, kind).collect())  # 16 models at most
+        with common.scratch(spark):
+            parts = common.stored(texts.select(F.col("text").cast("string").alias("text")).mapInArrow(task, kind), "expected")
+            n = parts.count()  # a model of each task
+            while n > ADDENDS:
+                n = -(-n // ADDENDS)
+                parts = common.stored(parts.repartition(n).mapInArrow(add, kind), "expected")
+            total = sum(np.frombuffer(bytes(r["sums"])) for r in parts.collect())  # ADDENDS models at most
         first, move, emit = np.split(total, np.cumsum(sizes)[:-1])
         model = estimated(first, move.reshape(s.states, s.states), emit.reshape(s.classes, s.states), share, s)
     return model

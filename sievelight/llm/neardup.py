@@ -375,11 +375,17 @@ def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def distinct(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each near-duplicate group, with all its columns: the least doc_id's. Rows without an id all stay."""
+    """One row of each near-duplicate group, with all its columns: the least doc_id's; of rows that repeat it, the one with
+    the least hash of its text. Rows without an id all stay."""
     judged = near_duplicates(docs, width, percent).filter("doc_id is not null")
     repeated = judged.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     gone = common.few(common.stored(judged.filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone"))
     kept = docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")  # rows without an id stay
     if repeated:
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+        from pyspark.sql import Window as W
+
+        place = common._fresh("place_", kept.columns)
+        first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+        one = kept.filter("doc_id is not null").withColumn(place, first).filter(F.col(place) == 1).drop(place)
+        kept = one.unionByName(kept.filter("doc_id is null"))
     return kept

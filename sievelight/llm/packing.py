@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, grain: i
 
     common.ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return common.stored(rows.mapInArrow(task, _PIECES), "pieces")
+    return common.stored(rows.mapInArrow(task, _PIECES), "pieces", keep=True)  # the result reads it later
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = 1024, grain: int = 64, cached: int = tokenization.CACHED) -> DataFrame:

@@ -46,3 +46,24 @@ def test_run(spark, folder):
     good = [d for d, r in labels.items() if r["quality"] == 1 and r["toxic"] == 0]
     assert sum(labels[d]["quality"] == 0 for d in kept if d in labels) <= 2
     assert len([d for d in good if d in kept]) > 0.7 * len(good)
+
+
+def test_empty_tables_repeats_and_other_columns(spark, sf, tmp_path):
+    """Nothing gives nothing; rows that repeat an id are one document, rows without an id each stay; columns named as ours
+    pass through the stages."""
+    kinds = {"documents": "doc_id bigint, text string, score double, text_ string, gone_id int, place_ int", "labels": "doc_id bigint, quality int, toxic int", "benchmark": "item_id bigint, text string"}
+
+    def tables(at, **rows):
+        for t, kind in kinds.items():
+            spark.createDataFrame(rows.get(t, []), kind).write.parquet(f"{at}/{t}.parquet")
+        return str(at)
+
+    assert corpus_pipeline.run(spark, tables(tmp_path / "none")).count() == 0
+    texts = [(i, prose(40 + i, 60)) for i in range(12)]
+    rows = [*texts, texts[3], texts[3], (3, prose(99, 50)), (None, prose(77, 50)), (None, None), (50, ""), (51, edited(texts[5][1], 1, 1)), (60, texts[7][1] + " " + prose(500, 20))]
+    docs = [(d, t, 0.5, "x", 1, 2) for d, t in rows]
+    labels = [(i, 1, 0) for i in range(12)] + [(None, 0, 1)]
+    got = corpus_pipeline.run(spark, tables(tmp_path / "some", documents=docs, labels=labels, benchmark=[(1, prose(500, 20)), (None, None)])).collect()
+    kept = {r["doc_id"] for r in got}
+    assert 60 not in kept and 51 not in kept and kept <= {d for d, _ in rows}
+    assert sum(r["start"] == 0 for r in got if r["doc_id"] == 3) == (3 in kept)
