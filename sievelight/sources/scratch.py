@@ -12,9 +12,11 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that the cluster names in ``spark.checkpoint.dir``; where that is unset, as in local
-    tests, below a temporary folder of this application."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path below the folder that the cluster names in ``spark.checkpoint.dir``; where that is unset, in local
+    mode only, below a temporary folder of this application."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not at:
         app = spark.sparkContext.applicationId
         if app not in _own:
