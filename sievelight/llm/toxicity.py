@@ -127,11 +127,15 @@ def train(texts: list[bytes | None], labels: np.ndarray, s: Settings) -> Model:
         bags.append((bucket.astype("i4"), (count / (count.sum() + s.neutral)).astype("f4")))
     rng = np.random.default_rng(s.seed)
     # n-grams of too few texts could only say which text they are from
-    seen = np.bincount(np.concatenate([b for b, _ in bags]), minlength=1 << s.bits)
+    seen = np.zeros(1 << s.bits, "i4")
+    for b, _ in bags:
+        seen[b] += 1
     kept = np.flatnonzero(seen >= min(s.texts, np.ceil(s.texts * len(bags) / 1000)))
     place = np.full(1 << s.bits, -1, "i4")
     place[kept] = np.arange(len(kept))
-    bags = [(place[b][own], c[own]) for b, c in bags for own in [place[b] >= 0]]
+    for i, (b, c) in enumerate(bags):  # one by one: they are the most that the driver holds
+        own = place[b] >= 0
+        bags[i] = place[b[own]], c[own]
     table = rng.uniform(-1 / s.dim, 1 / s.dim, (len(kept), s.dim)).astype("f4")
     soft = rng.uniform(-1, 1, (s.dim, 2)).astype("f4")
     bias = np.zeros(2, "f4")
@@ -203,7 +207,10 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", allowed=None,
             texts.append((r["text"] or "").encode())
             ys.append(r["y"])
             held += r["size"]
-    return train(texts, np.array(ys, "i8"), s)
+    model = train(texts, np.array(ys, "i8"), s)
+    del texts
+    common.trim()
+    return model
 
 
 def _lean(docs: DataFrame, model: Model):
