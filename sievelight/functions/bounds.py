@@ -3,25 +3,21 @@
 from __future__ import annotations
 
 from fractions import Fraction
+from itertools import accumulate
 from math import comb
 
 
-def precision_lower_bound(n: int, parts: int, k: int, kept: int) -> float:
-    """Union bound over the parts: 1 less the sum of C(n/parts, i) for i from kept+1 to k-1, times parts / C(n, k).
+def published_estimate(n: int, parts: int, k: int, kept: int) -> float:
+    """The published estimate of the mean precision over the first k places; it overstates.
 
-    The published form, which leaves the other parts' rows out of the count; mean over 1..k. See
-    ``expected_precision`` for the exact value.
+    Place j is taken as 1 - parts * sum of C(n / parts, i) for i from kept + 1 to j - 1, over C(n, j): it counts the ways
+    in which one part holds i of the best rows, but not how the others are dealt, so it is above the exact value of
+    ``expected_precision``. Places up to ``kept`` count 1, places that the parts cannot fill together count 0.
     """
-
-    def one(j: int) -> Fraction:
-        if j <= kept:
-            return Fraction(1)
-        if kept * parts < j:
-            return Fraction(0)
-        lost = sum(comb(n // parts, i) for i in range(kept + 1, min(n // parts, j)))
-        return 1 - Fraction(parts * lost, comb(n, j))
-
-    return float(sum(one(j) for j in range(1, k + 1)) / k)
+    reached = min(k, parts * kept)
+    crowded = accumulate((comb(n // parts, i) for i in range(kept + 1, reached)), initial=0)
+    missed = sum(Fraction(parts * ways, comb(n, j)) for j, ways in enumerate(crowded, kept + 1) if j <= reached)
+    return float((reached - missed) / k)
 
 
 def expected_precision(n: int, parts: int, k: int, kept: int) -> float:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,9 +65,9 @@ def to_int8(val: Column) -> Column:
 
 
 def to_half(val: Column) -> Column:
-    """Rounded to half precision, as a float; Spark has no such type, so this goes through Arrow batches."""
-    @F.pandas_udf("float")
-    def half(x: pd.Series) -> pd.Series:
-        return x.astype("float16").astype("float32")
-
-    return half(val.cast("double"))
+    """Rounded to half precision, half to even, as a float: Spark has no such type. 10 bits follow the first, down to
+    steps of 2**-24; from 65520 on it is infinite."""
+    x = val.cast("double")
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(x))), F.lit(-14)) - 10)
+    near = F.when((x == 0) | F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(F.rint(x / step) * step)
+    return F.when(F.abs(near) >= 65520, F.signum(near) * float("inf")).otherwise(near).cast("float")

@@ -56,13 +56,22 @@ def prune_ratio(triples: DataFrame, queries: DataFrame, rows: int, k: int, ck: i
 
 def sweep(triples: DataFrame, queries: DataFrame, rows: int, k: int, grid: Iterable[dict], cells: int | None = None) -> DataFrame:
     """(settings..., k, avg_precision, recall) for every combination in ``grid``; each is a dict of ``ck``, ``split``,
-    ``bits``, ``ratio``."""
+    ``bits``, ``ratio``.
+
+    The matrix, the queries and their exact lists are computed once for all settings. What reaches the driver is a row
+    for each setting and depth.
+    """
     depths = tuple(d for d in evaluate.DEPTHS if d <= k)
-    gold = exact_lists(triples, queries, k, cells)
-    out = None
-    for g in grid:
-        part = quality(triples, queries, gold, rows, depths=depths, cells=cells, **g)
-        for name, value in g.items():
-            part = part.withColumn(name, F.lit(value))
-        out = part if out is None else out.unionByName(part)
-    return out
+    held = [triples.persist(), queries.persist()]
+    held.append(exact_lists(*held, k, cells).persist())
+    try:
+        out = None
+        for g in grid:
+            part = quality(held[0], held[1], held[2], rows, depths=depths, cells=cells, **g)
+            for name, value in g.items():
+                part = part.withColumn(name, F.lit(value))
+            out = part if out is None else out.unionByName(part)
+        return triples.sparkSession.createDataFrame(out.collect(), out.schema)
+    finally:
+        for x in held:
+            x.unpersist()

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.functions import MatrixMeta, expected_precision, fixed_point, levels, precision_lower_bound, to_half, to_int8
+from sievelight.functions import MatrixMeta, expected_precision, fixed_point, levels, published_estimate, to_half, to_int8
 from sievelight.operators import evaluate, graph, layout, reduce, score, search, topk, tune
 from sievelight.plans import inputs
 from sievelight.plans.inputs import sql
@@ -212,6 +212,16 @@ def prune_cell_mean(spark, sf):
     return reduce.prune(inputs.sparse(spark, sf), 0.5, "cells", cells)
 
 
+_MIXED = "abs(val) > CASE WHEN row_id % 2 = 0 THEN 0.12D ELSE 0.02D END"
+
+
+@query(sql("coo", f", sp AS (SELECT * FROM coo WHERE {_MIXED.replace('D ', '::DOUBLE ')}), n AS (SELECT (max(row_id) + 1) * 64 AS cells FROM coo)" + _PRUNED.format(mean="sum(abs(val)) / (SELECT cells FROM n)::DOUBLE")))
+def prune_cell_mean_mixed(spark, sf):
+    """Sparse rows by turns of large and of all but the least entries: the former are kept whole, the latter are cut."""
+    a = inputs.triples(spark, sf)
+    return reduce.prune(a.filter(_MIXED), 0.5, "cells", layout.meta(a).rows * 64)
+
+
 def _quantised(level: float, low: int, high: int, where: str = "") -> str:
     return sql("coo", f", m AS (SELECT max(abs(val)) AS mx FROM coo), q AS (SELECT row_id, col_id, CAST(greatest({low}, least({high}, round_even({level}::DOUBLE * (val / mx), 0))) AS INTEGER) AS q FROM coo, m) SELECT * FROM q {where}")
 
@@ -256,6 +266,17 @@ def fill_empty_rows(spark, sf):
     return reduce.fill_empty_rows(q, all_, F.col("row_id") * 7 % inputs.SPARSE_COLS)
 
 
+@query(sql("coo x5", ", m AS (SELECT qid, max(abs(x)) AS mx FROM x5 GROUP BY qid) SELECT qid, col_id, CAST(greatest(-32, least(31, round_even(31.5::DOUBLE * (x / mx), 0))) AS INTEGER) AS q FROM x5 JOIN m USING (qid)"))
+def quantize_query_csr(spark, sf):
+    return reduce.quantize_queries(inputs.queries(spark, sf, 5), scheme="csr")
+
+
+@query(sql("sp", ", f AS (SELECT row_id, col_id, val FROM sp WHERE val >= 45), g AS (SELECT * FROM f UNION ALL SELECT row_id, CAST(row_id * 7 % 512 AS INTEGER), 1.0::DOUBLE FROM (SELECT DISTINCT row_id FROM sp) WHERE row_id NOT IN (SELECT row_id FROM f)), m AS (SELECT max(abs(val)) AS mx FROM g) SELECT row_id, col_id, CAST(greatest(-32, least(31, round_even(31::DOUBLE * (val / mx), 0))) AS INTEGER) AS q FROM g, m"))
+def repair_before_quantizing(spark, sf):
+    a = inputs.sparse(spark, sf)
+    return reduce.quantize(reduce.fill_empty_rows(a.filter("val >= 45"), a, F.col("row_id") * 7 % 512, "val"))
+
+
 @query(sql("coo", "SELECT row_id, col_id, CAST(trunc(val * 67108864) AS BIGINT) AS fixed FROM coo"))
 def fixed_point_values(spark, sf):
     return inputs.triples(spark, sf).select("row_id", "col_id", fixed_point(F.col("val")).alias("fixed"))
@@ -625,22 +646,55 @@ def prune_ratio_search(spark, sf):
     return tune.prune_ratio(a, inputs.queries(spark, sf, 100), n, 100, 128, share=0.99, cells=6400, split=8)
 
 
-@query()
-def bits_sweep(spark, sf):
+def _sweep_sql(grid: list[dict]) -> str:
+    """Every setting as a subquery of its own, all against the same exact lists."""
+    gold, parts = _GOLD.replace("x5", "x100"), []
+    for g in grid:
+        m, kept = levels(g["bits"]), g.get("ratio", 1.0)
+        body = _two_stage_sql(100, kept, g["ck"], g["split"], 100).split(" e AS (")[0].removeprefix(", ").rstrip(",")
+        body = body.replace("greatest(-32, least(31, round_even(31::DOUBLE", f"greatest({-m - 1}, least({m}, round_even({m}::DOUBLE")
+        shown = ", ".join(f"{v}::{'DOUBLE' if isinstance(v, float) else 'INTEGER'} AS {k}" for k, v in g.items())
+        hits = "SELECT gold.qid, k, count(c.row_id) / k::DOUBLE AS precision FROM gold JOIN (VALUES (1), (8), (16), (32), (50), (75), (100)) ks(k) ON rank <= k LEFT JOIN c ON c.qid = gold.qid AND c.row_id = gold.row_id GROUP BY gold.qid, k"
+        parts.append(f"SELECT * FROM (WITH {body} SELECT k, round(avg(precision), 6) AS avg_precision, round(avg(CASE WHEN precision = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS recall, {shown} FROM ({hits}) GROUP BY k)")
+    return sql("coo x100", gold + " " + " UNION ALL ".join(parts))
+
+
+def _sweep(spark, sf, grid: list[dict]) -> DataFrame:
     a, n = inputs.triples(spark, sf), inputs.dense(spark, sf).count()
-    return tune.sweep(a, inputs.queries(spark, sf, 100), n, 100, [{"ck": 128, "split": 8, "bits": b} for b in (4, 5, 6)], cells=6400)
+    out = tune.sweep(a, inputs.queries(spark, sf, 100), n, 100, grid, cells=6400)
+    return out.withColumns({c: _six(c) for c in ("avg_precision", "recall")})
 
 
-@query()
+_BITS = [{"ck": 128, "split": 8, "bits": b} for b in (4, 5, 6)]
+_CKS = [{"ck": c, "split": s, "bits": 6} for c in (64, 128, 256) for s in (1, 8)]
+#: As the published runs have them: 100 queries, 6 bits, 32 parts.
+_GRID = [{"ck": c, "split": 32, "bits": 6, "ratio": r} for c in (256, 512) for r in (1.0, 0.75, 0.5)]
+
+
+@query(_sweep_sql(_BITS))
+def bits_sweep(spark, sf):
+    return _sweep(spark, sf, _BITS)
+
+
+@query(_sweep_sql(_CKS))
 def ck_sweep(spark, sf):
-    a, n = inputs.triples(spark, sf), inputs.dense(spark, sf).count()
-    return tune.sweep(a, inputs.queries(spark, sf, 100), n, 100, [{"ck": c, "split": s, "bits": 6} for c in (64, 128, 256) for s in (1, 8)], cells=6400)
+    return _sweep(spark, sf, _CKS)
 
 
-@query()
+_CHOOSE = "lgamma({0} + 1.0) - lgamma({1} + 1.0) - lgamma({0} - {1} + 1.0)"
+_EXPECTED = f"exp({_CHOOSE.format('own', 'i')} + {_CHOOSE.format('(100000 - own)', '(k - i)')} - ({_CHOOSE.format('100000', 'k')}))"
+_MISSED = f"exp({_CHOOSE.format('own', 'i')} - ({_CHOOSE.format('100000', 'j')}))"
+
+
+@query(
+    "WITH g AS (SELECT CAST(parts AS INTEGER) AS parts, CAST(k AS INTEGER) AS k, 100000 // parts AS own, least(k, parts * 8) AS reached FROM (VALUES (8), (16), (32)) p(parts), (VALUES (8), (16), (32), (50), (75), (100), (300)) d(k)),"
+    f" e AS (SELECT parts, k, round(least(1.0::DOUBLE, parts * sum({_EXPECTED} * least(i, 8)) / k), 6) AS expected FROM g, range(301) t(i) WHERE i <= k GROUP BY parts, k),"
+    f" m AS (SELECT parts, k, parts * sum({_MISSED}) AS missed FROM g, range(9, 301) t(i), range(10, 301) u(j) WHERE j <= reached AND i < j GROUP BY parts, k)"
+    " SELECT g.parts, g.k, round((reached - coalesce(missed, 0)) / k::DOUBLE, 6) AS published, expected FROM g JOIN e USING (parts, k) LEFT JOIN m USING (parts, k)"
+)
 def closed_form_precision(spark, sf):
-    rows = [(p, k, precision_lower_bound(100_000, p, k, 8), expected_precision(100_000, p, k, 8)) for p in (8, 16, 32) for k in (8, 16, 32, 50, 75, 100, 300)]
-    return spark.createDataFrame(rows, "parts int, k int, lower_bound double, expected double")
+    rows = [(p, k, published_estimate(100_000, p, k, 8), expected_precision(100_000, p, k, 8)) for p in (8, 16, 32) for k in (8, 16, 32, 50, 75, 100, 300)]
+    return spark.createDataFrame(rows, "parts int, k int, published double, expected double").select("parts", "k", _six("published"), _six("expected"))
 
 
 @query()
@@ -653,7 +707,10 @@ def merged_precision_trials(spark, sf):
     return out
 
 
-@query()
+_STEP = "pow(2.0::DOUBLE, greatest(floor(log2(abs(val))), -14) - 10)"
+
+
+@query(sql("coo", f"SELECT row_id, col_id, CAST(CASE WHEN val = 0 THEN 0 ELSE round_even(val / {_STEP}, 0) * {_STEP} END AS FLOAT) AS half FROM coo"))
 def half_precision(spark, sf):
     return inputs.triples(spark, sf).select("row_id", "col_id", to_half(F.col("val")).alias("half"))
 
@@ -673,12 +730,9 @@ def generate_masked(spark, sf):
     return generators.masked(spark, 500, 64, 0.1, "gamma", seed=3)
 
 
-@query()
+@query(_sweep_sql(_GRID))
 def accuracy_grid(spark, sf):
-    """100 queries as the published runs have them, at 6 bits and 32 parts."""
-    a, n = inputs.triples(spark, sf), inputs.dense(spark, sf).count()
-    grid = [{"ck": c, "split": 32, "bits": 6, "ratio": r} for c in (256, 512) for r in (1.0, 0.75, 0.5)]
-    return tune.sweep(a, inputs.queries(spark, sf, 100), n, 100, grid, cells=6400)
+    return _sweep(spark, sf, _GRID)
 
 
 @query(sql("sp", "SELECT row_id, col_id, val FROM sp WHERE row_id < 500"))

@@ -56,7 +56,7 @@ CTE = {
     "sp": f"sp AS (SELECT l_orderkey AS row_id, CAST(l_partkey % {SPARSE_COLS} AS INTEGER) AS col_id, sum(l_quantity) AS val FROM lineitem GROUP BY ALL)",
     "edges": "edges AS (SELECT l_suppkey % 60 AS src, l_partkey % 50 AS dst FROM lineitem)",
 }
-CTE |= {f"x{n}": f"x{n} AS (SELECT row_id AS qid, col_id, val AS x FROM coo WHERE row_id < {n})" for n in (1, 3, 5)}
+CTE |= {f"x{n}": f"x{n} AS (SELECT row_id AS qid, col_id, val AS x FROM coo WHERE row_id < {n})" for n in (1, 3, 5, 100)}
 
 
 def sql(names: str, body: str) -> str:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievelight.functions import expected_precision, precision_lower_bound, to_half
+from sievelight.functions import expected_precision, published_estimate, to_half
 from sievelight.operators import evaluate, graph, layout, reduce, score, search, topk, tune
 from sievelight.sources import generators
 
@@ -156,7 +156,7 @@ def test_bounds_against_trials():
         parts = rng.permutation(1000)[:40] // 125
         hits.append(sum(min(8, c) for c in np.bincount(parts, minlength=8)) / 40)
     assert expected_precision(1000, 8, 40, 8) == pytest.approx(np.mean(hits), abs=0.01)
-    assert precision_lower_bound(1000, 8, 8, 8) == 1 and precision_lower_bound(1000, 2, 40, 8) < 0.5
+    assert published_estimate(1000, 8, 8, 8) == 1 and published_estimate(1000, 2, 40, 8) < 0.5
 
 
 def test_empty_rows_and_fill(spark, a):
