@@ -42,6 +42,17 @@ def _plain(file: dict) -> bool:
     return split and model["type"] == "BPE" and bare and not any(file.get(k) for k in ("normalizer", "truncation", "padding"))
 
 
+class _Pieces(dict):
+    """Ids by piece; what it lacks is learnt."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, x: str) -> bytes:
+        return self.learn(x)
+
+
 class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
@@ -65,42 +76,35 @@ class Encoder:
         self.marks: dict[str, bytes] = {}
         self.break_ = self._ids(["\n"])[0] if self.plain else b""
         self.limit, self.longest = limit, longest
-        self.young: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = _Pieces(self._learn)
         self.old: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _known(self, pieces: set[str]) -> dict[str, bytes]:
-        """A table that has all of ``pieces``: each stands for itself after a blank, or after its own line break."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        young, old, spelt, bpe, marks, hard = self.young, self.old, self.spelt, self.word.tokenize, self.marks, []
-        for x in pieces:
-            if x in young:
-                continue
-            if (ids := old.get(x)) is None:
-                w = x.rstrip(_MARKS)
-                line = w[:1] == "\n"
-                bare = w[1:] if line else w
-                if len(x) > self.longest or not (bare.isascii() or (bare and max(bare) < _LETTERS)) or not (bare.isalpha() or bare.isdigit()):
-                    hard.append(x)
-                    continue
+    def _learn(self, x: str) -> bytes:
+        """Ids of a piece that ``young`` lacks: it stands for itself after a blank, or after its own line break."""
+        young, old = self.young, self.old
+        if (ids := old.get(x)) is None:
+            w = x.rstrip(_MARKS)
+            line = w[:1] == "\n"
+            bare = w[1:] if line else w
+            if len(x) > self.longest or not (bare.isascii() or (bare and max(bare) < _LETTERS)) or not (bare.isalpha() or bare.isdigit()):
+                ids = self._ids([x if x[:1] == "\n" else f" {x}"])[0]
+            else:
                 tail = x[len(w) :]
                 ids = (young.get(w) or old.get(w)) if tail else None
                 if ids is None:
-                    spelling = bare if bare.isascii() else bare.translate(spelt)
-                    ids = array("I", [t.id for t in bpe(spelling if line else f"\u0120{spelling}")]).tobytes()
+                    spelling = bare if bare.isascii() else bare.translate(self.spelt)
+                    ids = array("I", [t.id for t in self.word.tokenize(spelling if line else f"\u0120{spelling}")]).tobytes()
                     ids = young[w] = self.break_ + ids if line else ids
                 if tail:
-                    if tail not in marks:
-                        marks[tail] = self._ids([tail])[0]
-                    ids += marks[tail]
+                    if tail not in self.marks:
+                        self.marks[tail] = self._ids([tail])[0]
+                    ids += self.marks[tail]
+        if len(x) <= self.longest:
             young[x] = ids
-        found = dict(zip(hard, self._ids([x if x[0] == "\n" else f" {x}" for x in hard]), strict=True))
-        young.update((x, ids) for x, ids in found.items() if len(x) <= self.longest)
-        long = {x: ids for x, ids in found.items() if len(x) > self.longest}
-        return {**young, **long} if long else young
+        return ids
 
     def _cut(self, text: str | None) -> list[str]:
         if not text:
@@ -118,15 +122,10 @@ class Encoder:
     def _pieces(self, texts: list[str | None]) -> list[bytes]:
         if len(self.marks) > 10_000:
             self.marks = {}
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, _Pieces(self._learn)
         cut = [self._cut(t) for t in texts]
-        need: set[str] = set()
-        for x in cut:
-            need.update(x[1:])
-        need.discard("")  # only from a blank that ends a text
-        known = self._known(need)
-        if any(len(x) > 1 and x[-1] == "" for x in cut):
-            known = {**known, "": self._ids([" "])[0]}
-        get, first = known.__getitem__, self._ids([x[0] for x in cut])
+        get, first = self.young.__getitem__, self._ids([x[0] for x in cut])
         return [a + b"".join(map(get, x[1:])) for a, x in zip(first, cut, strict=True)]
 
 
