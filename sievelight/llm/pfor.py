@@ -68,12 +68,14 @@ def decode_blocks(data: memoryview, starts: np.ndarray, low: np.ndarray, width:
         rows = np.flatnonzero(width == w)
         size = int(w) * block // 8
         if w:
-            body = raw[starts[rows].astype("i8")[:, None] + np.arange(size)]
-            bits = np.unpackbits(body, axis=1, bitorder="little").reshape(len(rows), block, int(w))
-            full = np.zeros((len(rows), block, 4 if w > 16 else 2), "u1")
-            bytes_ = np.packbits(bits, axis=2, bitorder="little")
-            full[:, :, : bytes_.shape[2]] = bytes_
-            out[rows] = full.view("<u4" if w > 16 else "<u2")[:, :, 0]
+            body = np.zeros((len(rows), size + 8), "u1")
+            body[:, :size] = raw[starts[rows].astype("i8")[:, None] + np.arange(size)]
+            bit = np.arange(block) * int(w)
+            kind = "u4" if w <= 25 else "u8"  # holds the bytes that one value touches
+            value = np.zeros((len(rows), block), kind)
+            for k in range((int(w) + 14) // 8):
+                value |= body[:, (bit >> 3) + k].astype(kind) << np.array(8 * k, kind)
+            out[rows] = (value >> (bit & 7).astype(kind)) & np.array((1 << int(w)) - 1, kind)
         else:
             out[rows] = 0
         for k in rows[counts[rows] > 0]:
