@@ -130,7 +130,7 @@ class Encoder:
 
 
 #: Pieces of one generation of a worker's cache; both generations take about 0.5 KB a piece together.
-CACHED = 400_000
+CACHED = 600_000
 
 
 @lru_cache(maxsize=1)
