@@ -72,7 +72,7 @@ class Encoder:
         added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.plain = _plain(json.loads(self.whole.to_str()))
-        self.word, self.spelt = self.whole.model, _byte_letters()
+        self.tokenize, self.spelt = self.whole.model.tokenize, _byte_letters()
         self.marks: dict[str, bytes] = {}
         self.break_ = self._ids(["\n"])[0] if self.plain else b""
         self.limit, self.longest = limit, longest
@@ -86,6 +86,9 @@ class Encoder:
         """Ids of a piece that ``young`` lacks: it stands for itself after a blank, or after its own line break."""
         young, old = self.young, self.old
         if (ids := old.get(x)) is None:
+            if x.isalpha() and x.isascii() and len(x) <= self.longest:  # most are plain words
+                ids = young[x] = array("I", [t.id for t in self.tokenize("\u0120" + x)]).tobytes()
+                return ids
             w = x.rstrip(_MARKS)
             line = w[:1] == "\n"
             bare = w[1:] if line else w
@@ -96,7 +99,7 @@ class Encoder:
                 ids = (young.get(w) or old.get(w)) if tail else None
                 if ids is None:
                     spelling = bare if bare.isascii() else bare.translate(self.spelt)
-                    ids = array("I", [t.id for t in self.word.tokenize(spelling if line else f"\u0120{spelling}")]).tobytes()
+                    ids = array("I", [t.id for t in self.tokenize(spelling if line else f"\u0120{spelling}")]).tobytes()
                     ids = young[w] = self.break_ + ids if line else ids
                 if tail:
                     if tail not in self.marks:
