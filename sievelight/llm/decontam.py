@@ -45,7 +45,7 @@ class Settings:
     percent: int = 80
     least_words: int = 5
     most_words: int = 2_000_000
-    recall: float = 0.995
+    recall: float = 0.999
     places: int = 3
     most_walks: int = 96
     seed: int = 3
