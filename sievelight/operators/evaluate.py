@@ -49,11 +49,16 @@ def ndcg_by_rank(gold: DataFrame, test: DataFrame, n: int | None = None) -> Data
     return ideal.join(got, "qid", "left").select("qid", (F.coalesce("got", F.lit(0.0)) / F.col("ideal")).alias("ndcg"))
 
 
-def edit_distance(gold: DataFrame, test: DataFrame, n: int) -> DataFrame:
-    """(qid, distance): Levenshtein's distance of the two lists' first ``n`` ids. Each id of a query becomes one
-    character, so this holds for lists of a few thousand ids."""
+def edit_distance(gold: DataFrame, test: DataFrame, n: int, indel: int = 1) -> DataFrame:
+    """(qid, distance): Levenshtein's distance of the two lists' first ``n`` ids. A replaced id costs 1, an id put in or
+    left out costs ``indel``, 1 or 2. Each id of a query becomes one character, after one that all share where ``indel``
+    is 2, so this holds for lists of a few thousand ids."""
+    if indel not in (1, 2):
+        raise ValueError(f"indel must be 1 or 2, not {indel}")
     both = gold.filter(F.col("rank") <= n).select("qid", "rank", "row_id", F.lit(0).alias("which")).unionByName(test.filter(F.col("rank") <= n).select("qid", "rank", "row_id", F.lit(1).alias("which")))
     coded = both.withColumn("c", F.expr("decode(unhex(lpad(hex(256 + dense_rank() over (partition by qid order by row_id)), 4, '0')), 'UTF-16BE')"))
+    if indel == 2:
+        coded = coded.withColumn("c", F.concat(F.lit("-"), "c"))
     text = lambda w: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("which") == w, F.struct("rank", "c")))), lambda e: e["c"]), "")
     return coded.groupBy("qid").agg(text(0).alias("a"), text(1).alias("b")).select("qid", F.levenshtein("a", "b").alias("distance"))
 

@@ -138,6 +138,28 @@ def test_ranking_metrics(spark):
     assert round(evaluate.convergence(ones).first()["metric"], 7) == 1.2620833
 
 
+def test_edit_distance_by_the_cost_of_a_missing_id(spark):
+    rng = np.random.default_rng(1)
+    lists = [[rng.permutation(24)[:20].tolist() for _ in range(2)] for _ in range(6)]
+    lists += [[list(range(20)), [99, *range(19)]], [list(range(20)), [*range(1, 20), 0]], [list(range(5)), list(range(2, 9))]]
+    table = lambda w: spark.createDataFrame([(q, k + 1, i) for q, both in enumerate(lists) for k, i in enumerate(both[w])], "qid bigint, rank int, row_id bigint")
+
+    def plain(a, b, cost):
+        last = [cost * k for k in range(len(b) + 1)]
+        for i, x in enumerate(a):
+            row = [cost * (i + 1)]
+            for k, y in enumerate(b):
+                row.append(min(last[k + 1] + cost, row[k] + cost, last[k] + (x != y)))
+            last = row
+        return last[-1]
+
+    for cost in (1, 2):
+        got = {r["qid"]: r["distance"] for r in evaluate.edit_distance(table(0), table(1), 20, cost).collect()}
+        assert got == {q: plain(*both, cost) for q, both in enumerate(lists)}
+    with pytest.raises(ValueError):
+        evaluate.edit_distance(table(0), table(1), 20, 3)
+
+
 def test_pagerank_mass(spark):
     e = generators.graph(spark, 40, 3, seed=6)
     r = graph.pagerank(graph.out_degree_weights(e.filter("src > 5")), spark.range(40).withColumnRenamed("id", "node"), iterations=4)
