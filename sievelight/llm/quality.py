@@ -9,7 +9,7 @@ Its inputs are shares of character classes and pairs of them, and counts of repe
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -54,7 +54,7 @@ class Settings:
     small: float = 0.001
     #: Weight decay, over the number of texts of the fit: the fewer they are, the smoother the network.
     decay: float = 3.0
-    folds: int = 5
+    #: Splits into halves on which the first classifiers are fitted and read.
     repeats: int = 6
     errors: float = 0.75
     seed: int = 11
@@ -160,46 +160,58 @@ def _fit(p: np.ndarray, u: np.ndarray, prior: float | None, s: Settings) -> Mode
     return Model(mean, scale, layers, prior or 0.5)
 
 
-def _held_out(p: np.ndarray, u: np.ndarray, s: Settings, ids: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Margins of both kinds by first classifiers that did not see the document, ``repeats`` times over."""
-    sp, su = [], []
-    for r in range(s.repeats):
-        fold = [np.array([zlib.crc32(f"{r} {i}".encode()) for i in x.tolist()], "i8") % s.folds for x in ids]
-        for f in range(s.folds):
-            own, theirs = fold[0] == f, fold[1] == f
-            if own.all() or theirs.all():
-                continue
-            model = _fit(p[~own], u[~theirs], None, s)
-            sp.append(model.margin(p[own]))
-            su.append(model.margin(u[theirs]))
-    return np.concatenate(sp or [np.zeros(0)]), np.concatenate(su or [np.zeros(0)])
-
-
-def class_prior(p: np.ndarray, u: np.ndarray, s: Settings, pool: Callable[[Model, np.ndarray], np.ndarray] | None = None, ids: tuple[np.ndarray, np.ndarray] | None = None) -> float:
-    """The share of positives in ``u``: of all cuts of a first classifier's score, read on documents that it has not seen,
-    the least upper bound of (share of unlabelled above) / (share of positives above), lowered by the ratio's error.
-
-    ``ids`` tell which rows of ``p`` and ``u`` are one document. ``pool``: gives, for a classifier learnt on every other row
-    and ascending cuts, how many unlabelled texts have their margin below the first cut, from each cut to the next, and from the last; these are
-    read instead of the rest of ``u``."""
-    if pool is None:
-        sp, su = _held_out(p, u, s, ids or (np.arange(len(p)), np.arange(len(u)) + len(p)))
-        n, m = len(p), len(u)
-    else:
-        model = _fit(p[::2], u[::2], None, s)
-        sp = model.margin(p[1::2])
-        n = len(sp)
-    if not len(sp):
+def _halves(p: np.ndarray, u: np.ndarray, s: Settings, ids: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For both halves of ``repeats`` splits, the rows of ``p`` and of ``u`` that are in it. Rows of one id, without ids
+    rows with the same features, are in one half."""
+    if ids is None:
+        key = lambda x: np.array([int.from_bytes(hashlib.blake2b(r.tobytes(), digest_size=8).digest()) for r in x], "u8")
+        ids = key(p), key(u)
+    own = np.unique(ids[1])
+    more = np.setdiff1d(ids[0], own)
+    every = np.concatenate([own, more])
+    order = np.argsort(every)
+    at = [order[np.searchsorted(every, x, sorter=order)] for x in ids]
+    rng = np.random.default_rng(s.seed)
+    for _ in range(s.repeats):
+        side = np.concatenate([rng.permutation(len(x)) % 2 for x in (own, more)])
+        for half in (0, 1):
+            yield side[at[0]] == half, side[at[1]] == half
+
+
+def _below(firsts: list[tuple[Model, np.ndarray]], u: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """How many rows of ``u`` that a classifier has not seen lie below the first cut, from each cut to the next, and from
+    the last: the sum over the classifiers."""
+    out = np.zeros(len(cuts) + 1, "i8")
+    for model, seen in firsts:
+        out += np.bincount(np.searchsorted(cuts, model.margin(u[~seen]), "right"), minlength=len(out))
+    return out
+
+
+def _mean(counts: np.ndarray, number: int) -> np.ndarray:
+    """Counts over ``number`` classifiers for one, in binary fractions that add up without an error."""
+    return np.diff(np.rint(np.cumsum(counts) / number * 2**20) / 2**20, prepend=0)
+
+
+def class_prior(p: np.ndarray, u: np.ndarray, s: Settings, pool: Callable[[list[tuple[Model, np.ndarray]], np.ndarray], np.ndarray] | None = None, ids: tuple[np.ndarray, np.ndarray] | None = None) -> float:
+    """The share of positives in ``u``: of all cuts of first classifiers' scores, read on documents that they have not
+    seen, the least upper bound of (share of unlabelled above) / (share of positives above), lowered by the ratio's error.
+
+    Each first classifier is learnt on one half of both and read on the other, ``repeats`` times over. ``ids`` tell which
+    rows of ``p`` and ``u`` are one document. ``pool`` counts as ``_below`` does for these classifiers, each with the rows
+    of ``u`` that it has seen, and ascending cuts, over more unlabelled texts than ``u``, and gives the mean."""
+    firsts, sp = [], []
+    for hp, hu in _halves(p, u, s, ids):
+        if hp.any() and hu.any() and not hp.all():
+            firsts.append((_fit(p[hp], u[hu], None, s), hu))
+            sp.append(firsts[-1][0].margin(p[~hp]))
+    if not firsts:
         return 0.5
-    sp = np.sort(sp)
+    sp = np.sort(np.concatenate(sp))
     cuts = np.unique(sp)
-    if pool is None:
-        counts = np.bincount(np.searchsorted(cuts, su, "right"), minlength=len(cuts) + 1)
-    else:
-        counts = pool(model, cuts)
-        m = counts.sum()
+    counts = pool(firsts, cuts) if pool else _mean(_below(firsts, u, cuts), len(firsts))
     if not counts.sum():
         return 0.5
+    n, m = len(p), counts.sum() + np.mean([hu.sum() for _, hu in firsts])  # each is read by the classifiers of its other half
     slack = np.sqrt(np.log(40) / 2 / m) + np.sqrt(np.log(40) / 2 / n)
     qp, qu = 1 - np.searchsorted(sp, cuts) / len(sp), 1 - np.cumsum(counts)[:-1] / counts.sum()
     best = np.argmin((qu + slack) / np.maximum(qp, 1e-9))
@@ -207,7 +219,7 @@ def class_prior(p: np.ndarray, u: np.ndarray, s: Settings, pool: Callable[[Model
     return float(np.clip((qu[best] - s.errors * error) / qp[best], 0.02, 0.98))
 
 
-def train(p: np.ndarray, u: np.ndarray, s: Settings | None = None, prior: float | None = None, pool: Callable[[Model, np.ndarray], np.ndarray] | None = None, ids: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+def train(p: np.ndarray, u: np.ndarray, s: Settings | None = None, prior: float | None = None, pool: Callable[[list[tuple[Model, np.ndarray]], np.ndarray], np.ndarray] | None = None, ids: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
     """Fit on the features of positives and unlabelled texts. Without positives every score is 0.5; without unlabelled
     texts every score is 1."""
     s = s or Settings()
@@ -215,7 +227,7 @@ def train(p: np.ndarray, u: np.ndarray, s: Settings | None = None, prior: float
         flat = [np.zeros((N_FEATURES, 1)), np.zeros(1), np.zeros(1), np.array(0.0 if len(p) < 2 else 50.0)]
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), flat, 0.5)
     if prior is None:
-        prior = class_prior(p, u, s, ids=ids) if pool is None else class_prior(p, u, s, pool)
+        prior = class_prior(p, u, s, pool) if ids is None else class_prior(p, u, s, pool, ids)
     return _fit(p, u, prior, s)
 
 
@@ -232,25 +244,28 @@ def _featured(rows: DataFrame, keep: str) -> DataFrame:
     return rows.select(keep, "text").mapInArrow(task, T.StructType([T.StructField(keep, kind), T.StructField("x", T.BinaryType())]))
 
 
-def _binned(rows: DataFrame, model: Model, cuts: np.ndarray) -> DataFrame:
-    """(doc_id, bin) of (doc_id, text): how many of the cuts are at most the text's margin."""
-    held = rows.sparkSession.sparkContext.broadcast((model, cuts))
+def _binned(rows: DataFrame, models: list[Model], cuts: np.ndarray) -> DataFrame:
+    """(doc_id, bins) of (doc_id, text): how many of the cuts are at most the text's margin, for each model."""
+    held = rows.sparkSession.sparkContext.broadcast((models, cuts))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.begin()
-        own, at = held.value
+        each, at = held.value
         for b in batches:
             if b.num_rows:
                 x = np.stack([features(t) for t in b.column(1).cast(pa.binary()).to_pylist()])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.searchsorted(at, own.margin(x), "right"), pa.int32())], names=["doc_id", "bin"])
+                bins = np.stack([np.searchsorted(at, m.margin(x), "right") for m in each], axis=1).astype("i4")
+                starts = np.arange(0, bins.size + 1, len(each), dtype="i4")
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(starts), pa.array(bins.ravel()))], names=["doc_id", "bins"])
 
-    return rows.select("doc_id", "text").mapInArrow(task, "doc_id bigint, bin int")
+    return rows.select("doc_id", "text").mapInArrow(task, "doc_id bigint, bins array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", allowed=None, settings: Settings | None = None) -> Model:
     """Train on a bounded sample: positives are documents that ``labels.column`` marks 1; unlabelled are documents
     without a row in ``labels``, then, where these are too few, any other, whose labels are not looked at. The class prior
-    is read from every unlabelled document that the first classifier was not fitted on. ``allowed``: a condition on doc_id
+    is read in one way at any size: from the sample and every other document without a row in ``labels``, by first
+    classifiers that were not fitted on it. ``allowed``: a condition on doc_id
     that both must meet. Null ids are passed over; an id with different labels is no positive."""
     s = settings or Settings()
     common.ship(docs.sparkSession)
@@ -266,22 +281,18 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", allowed=Non
     rows = text.join(F.broadcast(chosen), "doc_id").select(F.struct("y", "doc_id").alias("of"), "text")
     got = sorted(((r["of"]["y"], r["of"]["doc_id"], bytes(r["x"])) for r in _featured(rows, "of").collect()))
     x = lambda y: np.array([np.frombuffer(b, "f4") for k, _, b in got if k == y], "f8").reshape(-1, N_FEATURES)
-    if free.filter("known = 0").count() <= s.unlabelled:  # the sample has them all
-        ids = lambda y: np.array([d for k, d, _ in got if k == y], "i8")
-        model = train(x(1), x(0), s, ids=(ids(1), ids(0)))
-        common.trim()
-        return model
     own = text.filter("doc_id is not null") if allowed is None else text.filter("doc_id is not null").filter(allowed)
-    fitted = docs.sparkSession.createDataFrame([(d,) for k, d, _ in got if k == 0][::2], "doc_id bigint")  # half of the sample
+    sampled = docs.sparkSession.createDataFrame([(d,) for k, d, _ in got if k == 0], "doc_id bigint").distinct()
+    unlabelled = x(0)
 
-    def pool(model: Model, cuts: np.ndarray) -> np.ndarray:
-        rest = _binned(own, model, cuts).join(known.select("doc_id"), "doc_id", "left_anti").join(F.broadcast(fitted), "doc_id", "left_anti")
-        out = np.zeros(len(cuts) + 1, "i8")
-        for r in rest.groupBy("bin").count().collect():  # at most one row a cut
-            out[r["bin"]] = r["count"]
-        return out
+    def pool(firsts: list[tuple[Model, np.ndarray]], cuts: np.ndarray) -> np.ndarray:
+        rest = _binned(own.join(F.broadcast(sampled), "doc_id", "left_anti"), [m for m, _ in firsts], cuts).join(known.select("doc_id"), "doc_id", "left_anti")
+        out = _below(firsts, unlabelled, cuts)
+        for r in rest.select(F.explode("bins").alias("bin")).groupBy("bin").count().collect():  # at most one row a cut
+            out[r["bin"]] += r["count"]
+        return _mean(out, len(firsts))
 
-    model = train(x(1), x(0), s, pool=pool)
+    model = train(x(1), unlabelled, s, pool=pool)
     common.trim()
     return model
 

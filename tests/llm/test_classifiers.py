@@ -179,6 +179,32 @@ def test_prior_is_read_from_every_unlabelled_document(spark, make, monkeypatch):
     assert [r.sum() for r in read] == [160 - 20] and 0 < model.prior < 1
 
 
+def test_prior_is_read_in_one_way_at_any_size(spark, make, monkeypatch):
+    """Whether the sample has all unlabelled documents or all but one, the same estimator reads every one of them."""
+    texts, bad = labelled(120, junk, 0)
+    docs = make(list(enumerate(texts)))
+    labels = spark.createDataFrame([(i, 1) for i in range(120) if i % 3 == 1], "doc_id bigint, quality int")
+    read, real = [], quality.class_prior
+
+    def watched(p, u, s, pool=None):
+        return real(p, u, s, pool and (lambda m, cuts: read.append((len(m), pool(m, cuts).sum())) or pool(m, cuts)))
+
+    monkeypatch.setattr(quality, "class_prior", watched)
+    priors = [quality.fit(docs, labels, settings=quality.Settings(unlabelled=n, steps=100, repeats=2)).prior for n in (80, 78)]
+    assert read == [(4, 80 - 40), (4, 80 - 39)] and abs(priors[0] - priors[1]) < 0.1
+
+
+def test_first_classifiers_never_read_what_they_saw():
+    x = np.random.default_rng(0).normal(size=(40, 3))
+    p, u = x[:20], np.concatenate([x[10:], x[15:35]])  # rows of both kinds, and rows that repeat
+    for ids in (None, (np.arange(20), np.concatenate([np.arange(10, 40), np.arange(15, 35)]))):
+        splits = list(quality._halves(p, u, quality.Settings(repeats=3), ids))
+        for hp, hu in splits:
+            assert not {r.tobytes() for r in np.concatenate([p[hp], u[hu]])} & {r.tobytes() for r in np.concatenate([p[~hp], u[~hu]])}
+            assert len({r.tobytes() for r in u[hu]}) == 15
+        assert len(splits) == 6 and all((a[1] ^ b[1]).all() for a, b in zip(splits[::2], splits[1::2], strict=True))
+
+
 def test_quality_risk_and_gradient_against_plain_python():
     """The risk summed in loops, and its gradient by differences, where the negatives' part is positive."""
     from math import exp, log
