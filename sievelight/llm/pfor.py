@@ -27,6 +27,8 @@ from sievelight.llm import common, tokenization
 
 MAGIC = b"SVPFOR1\0"
 _HEAD, _FOOT = struct.Struct("<8sIQI"), struct.Struct("<Q8s")
+#: Ids that a reading task takes, so that many small files make few tasks and few files of what is read.
+TASK_IDS = 1 << 25
 
 
 def encode_blocks(ids: np.ndarray, block: int = 512, percentile: float = 0.95) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
@@ -206,7 +208,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     place = F.xxhash64("text")  # rows of one id, or without one, may be many: they are dealt out as well
     ordered = rows.repartitionByRange("doc_id", place).sortWithinPartitions("doc_id", place, "text")
-    ordered.mapInArrow(task, _FILES).write.parquet(f"{folder}/table")
+    files = ordered.mapInArrow(task, _FILES).toArrow()  # one row a file; written from each task, they would be as many files
+    docs.sparkSession.createDataFrame(files).coalesce(1).write.parquet(f"{folder}/table")
     return docs.sparkSession.read.schema(_FILES).parquet(f"{folder}/table")
 
 
@@ -219,12 +222,15 @@ _DOCS_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_toke
 def read_digest(files: DataFrame, folder: str) -> DataFrame:
     """Read every file of the table that ``write`` returned: doc_id, start among all ids, n_tokens, ids_crc32, path.
 
-    Starts come from the files' id counts, a table of one row a file. An empty table gives no rows.
+    Starts come from the files' id counts, a table of one row a file. A task reads the files of about ``TASK_IDS`` ids,
+    or fewer where that would leave cores idle. An empty table gives no rows.
     """
     from pyspark.sql import Window as W
 
-    n = max(1, files.count())
+    n, ids = files.agg(F.count("*"), F.coalesce(F.sum("n_ids"), F.lit(1))).first()
+    tasks = max(1, min(n, max(files.sparkSession.sparkContext.defaultParallelism, -(-ids // TASK_IDS))))
     starts = files.withColumn("before", F.sum("n_ids").over(W.orderBy("part")) - F.col("n_ids"))
+    dealt = starts.select("part", "path", "before", F.floor(F.col("before") * tasks / ids).alias("task"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as pafs
@@ -242,4 +248,4 @@ def read_digest(files: DataFrame, folder: str) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_pylist([dict(zip(_DOCS_ARROW.names, r, strict=True)) for r in rows], _DOCS_ARROW)
 
-    return starts.select("part", "path", "before").repartition(n, "part").mapInArrow(task, _DOCS)
+    return dealt.repartitionByRange(tasks, "task").mapInArrow(task, _DOCS)

@@ -103,6 +103,25 @@ def test_nothing_to_write(spark, make):
     assert packing.pack(make([])).count() == 0
 
 
+def test_many_small_files_are_read_by_few_tasks(spark, make, encoder, tmp_path):
+    texts = [f"text {i} of many" for i in range(200)]
+    folder = f"file://{tmp_path}/ids"
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        files = pfor.write(make(list(enumerate(texts))), folder)
+        got = pfor.read_digest(files, folder)
+        rows, parts = sorted(got.collect()), got.rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    ids = [x + np.array([2], "<u4").tobytes() for x in encoder.encode(texts)]
+    starts = np.cumsum([0, *[len(x) // 4 for x in ids]]).tolist()
+    assert [tuple(r[:4]) for r in rows] == [(i, starts[i], len(x) // 4, zlib.crc32(x)) for i, x in enumerate(ids)]
+    assert files.count() > 20 and len(list((tmp_path / "ids/table").glob("*.parquet"))) == 1
+    assert parts <= spark.sparkContext.defaultParallelism
+
+
 def test_cut():
     assert packing.cut(2048 + 700, 1024, 64) == [1024, 1024, 512, 128, 60]
     assert packing.cut(1, 1024, 64) == [1] and packing.cut(1024, 1024, 64) == [1024]
