@@ -43,6 +43,16 @@ def dense_dot(vector: Column, query: Column) -> Column:
     return F.aggregate(F.zip_with(vector, query, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, p: s + p)
 
 
+def dense_scores(dense: DataFrame, queries: DataFrame, cells: int | None = None) -> DataFrame:
+    """(qid, row_id, score) of dense rows (row_id, embedding) and dense queries (qid, x), as ``multiply`` has it of their
+    triples. Each product is summed from the left before any shuffle: equal vectors get equal scores, also where an
+    aggregation that runs out of memory would add a row's products in another order. ``cells`` as in ``multiply``."""
+    both = dense.select("row_id", "embedding").crossJoin(_side(queries.select("qid", "x"), cells))
+    products = F.zip_with("embedding", "x", lambda a, b: a.cast("double") * b.cast("double"))
+    total = F.aggregate(products, F.lit(None).cast("double"), lambda s, p: F.coalesce(s + p, s, p))  # null: nothing shared
+    return both.select("qid", "row_id", total.alias("score")).groupBy("qid", "row_id").agg(F.sum("score").alias("score")).filter("score is not null")
+
+
 def dense_topk(dense: DataFrame, queries: np.ndarray, k: int, row: str = "row_id", vector: str = "embedding") -> DataFrame:
     """(qid, row_id, score): each task's ``k`` best rows for every query, by one matrix product a batch.
 

@@ -23,9 +23,11 @@ def approximate(triples: DataFrame, queries: DataFrame, rows: int, ck: int, spli
 
 
 def two_stage(triples: DataFrame, queries: DataFrame, rows: int, k: int, ck: int, **options) -> DataFrame:
-    """(qid, rank, row_id, score): the exact top ``k`` of the candidates; ``options`` as in ``approximate``."""
+    """(qid, rank, row_id, score): the exact top ``k`` of the candidates; ``options`` as in ``approximate``. A row's products
+    are summed by column, so equal rows get equal scores."""
     found = approximate(triples, queries, rows, ck, **options).select("qid", "row_id")
     # ck rows a query: the matrix's entries of these rows only
     own = triples.join(found, "row_id")
-    exact = own.join(score._side(queries, options.get("cells")), ["qid", "col_id"]).groupBy("qid", "row_id").agg(F.sum(F.col("val") * F.col("x")).alias("score"))
+    products = own.join(score._side(queries, options.get("cells")), ["qid", "col_id"]).select("qid", "row_id", F.struct("col_id", (F.col("val") * F.col("x")).alias("p")).alias("e"))
+    exact = products.groupBy("qid", "row_id").agg(F.aggregate(F.array_sort(F.collect_list("e")), F.lit(0.0), lambda s, e: s + e["p"]).alias("score"))
     return topk.topk(exact, k)
